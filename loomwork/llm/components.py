@@ -1,0 +1,36 @@
+"""Connected components of an edge table, without collecting it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomwork.llm.store import stored
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) for every node of edges; component: its smallest reachable node.
+
+    Each round points every node at the smallest label among its neighbours and then
+    follows labels twice (hooking and pointer jumping), so the rounds grow with the
+    logarithm of the longest path.  Aggregations combine on the map side, so a node
+    with very many edges is no hot task.  Null ends and loops are ignored; no edges
+    give no rows.  Each round's labels are checkpointed, so lost executors cost one round.
+    """
+    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
+    both = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    label = stored(both.select("a", F.col("b").alias("to")).union(both.select(F.col("b").alias("a"), F.col("b").alias("to"))).groupBy("a").agg(F.min("to").alias("to")))
+    while True:
+        # edges between the labels of their ends; the larger label then follows the smaller
+        la, lb = label.select("a", F.col("to").alias("la")), label.select(F.col("a").alias("b"), F.col("to").alias("lb"))
+        cross = both.join(la, "a").join(lb, "b").where("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("hook"))
+        hooks = cross.groupBy("a").agg(F.min("hook").alias("hook"))
+        hooked = label.join(hooks, "a", "left").select("a", F.least("to", F.coalesce("hook", "to")).alias("to"))
+        for _ in range(2):
+            up = hooked.select(F.col("a").alias("to"), F.col("to").alias("top"))
+            hooked = hooked.join(up, "to", "left").select("a", F.coalesce("top", "to").alias("to"))
+        after = stored(hooked)
+        changed = after.join(label.withColumnRenamed("to", "was"), "a").where("to <> was").limit(1).count()
+        label = after
+        if not changed:
+            return label.select(F.col("a").alias("node"), F.col("to").alias("component"))

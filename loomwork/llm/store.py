@@ -1,0 +1,19 @@
+"""Cutting lineage through the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once and checkpointed to spark.checkpoint.dir; lost executors never need the lineage again.
+
+    A session without that setting (tests) gets a temporary folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint(eager=True)
