@@ -5,7 +5,7 @@ coordinate-value pairs, rarest first, and only under the first K - M + 1 of them
 (prefix filter): two sets that agree on M coordinates or more still meet under one.
 A pair that meets is kept when all its coordinates agree at M places or more, and
 is then confirmed on the full shingle sets.  With K = 48 and M = 24 a pair at the
-Jaccard limit of 0.8 is missed with a probability of about 5e-6.
+Jaccard limit of 0.8 is missed with a probability below 1e-6.
 
 Large posting lists are not expanded into pairs.  Each round compares the members
 of a list with one pivot of it only, joins what is confirmed into components, and
@@ -41,7 +41,7 @@ class NearDuplicateRules:
     percent: int = 80  # 100 * intersection >= percent * union
     coordinates: int = 48
     least_matches: int = 24
-    pivot_rounds: int = 3
+    pivot_rounds: int = 2
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +171,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.distinct()
         if edges is not None:
             pairs = pairs.join(edges, ["a", "b"], "left_anti")
-        found = _confirmed(pairs, sets, docs, rules)
-        before = edges
-        edges = stored(found if edges is None else edges.unionByName(found))
-        if before is not None and edges.count() == before.count() and step < rules.pivot_rounds:
+        found = stored(_confirmed(pairs, sets, docs, rules))
+        if edges is not None and found.isEmpty():
             continue
-        nodes = connected_components(edges, "a", "b")
-        label = nodes.select(F.col("node").alias("doc_id"), "component")
+        edges = found if edges is None else stored(edges.unionByName(found))
+        label = connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), "component")
     place = signed.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left")
     named = place.join(label.select(F.col("doc_id").alias("rep"), "component"), "rep", "left")
     of_doc = F.coalesce("component", "rep", "doc_id")

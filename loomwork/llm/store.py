@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one of this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="loomwork"))
+        folder = _own_folder[0]
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df computed once and checkpointed to spark.checkpoint.dir; lost executors never need the lineage again.
+    """df computed once, written to the shared folder and read again.
 
-    A session without that setting (tests) gets a temporary folder of its own.
+    Lost executors then never need the lineage again, and the optimiser sees the
+    real size of the table and none of the constraints gathered before it (these
+    grow exponentially over the rounds of an iterative plan).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
