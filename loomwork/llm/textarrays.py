@@ -102,13 +102,13 @@ def segment_hash(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, end:
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """The words of each text; with lower, A-Z count as a-z in the hashes."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _SPACE) -> Words:
+    """The words of each text; with lower, A-Z count as a-z in the hashes. breaks: the bytes between words."""
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
         return Words(empty, empty, np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64))
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     edge = np.zeros(n + 1, bool)  # a text begins here
     edge[offsets] = True
     opens = word.copy()
@@ -154,3 +154,12 @@ def text_of(first: np.ndarray) -> np.ndarray:
 def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def hashes_of(words: list[str], lower: bool = True) -> np.ndarray:
+    """The hashes that words_of and segment_hash give to these words."""
+    parts = [w.encode() for w in words]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([0, *map(len, parts)])
+    sums, inverse = _prefix(data, lower)
+    return segment_hash(sums, inverse, ends[:-1], ends[1:])
