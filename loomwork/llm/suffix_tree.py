@@ -50,8 +50,8 @@ NEXT_BITS = (0, 30, 24)
 class SuffixTreeRules:
     beta: float = 1.0
     least_gain: float = 4.0
-    block_bytes: int = 16 << 20
-    bucket_keys: int = 2_500_000
+    block_bytes: int = 6 << 20
+    bucket_keys: int = 1_000_000
     held_out: tuple[int, int] = (10, 0)  # crc32(doc_id as text) mod 10 = 0 is not learned from
 
 
@@ -226,11 +226,17 @@ def requests(rows: DataFrame, root: Root, bits: int, rules: SuffixTreeRules) ->
                 order, new, _ = _distinct(keys)
                 counts = np.add.reduceat(tokens.train[at][order].astype(np.uint32), new, dtype=np.uint32) if len(new) else np.zeros(0, np.uint32)
                 own = keys[order][new]
+                del at, keys, order, new
                 cut = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
                 sizes.append(np.diff(cut))
                 blobs.append([(pack(np.diff(own[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)])
-            for b in range(1 << bits):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block]), pa.array([check]), *(pa.array([int(sizes[k][b])], pa.int64()) for k in range(3)), *(pa.array([blobs[k][b][j]], pa.binary()) for k in range(3) for j in range(2))], names=["bucket", "block", "check", "n0", "n1", "n2", "k0", "c0", "k1", "c1", "k2", "c2"])
+            n, m = 1 << bits, (lambda x: pa.array(np.full(1 << bits, x)))
+            columns = {"bucket": pa.array(np.arange(n, dtype=np.int32)), "block": m(block), "check": m(check), **{f"n{k}": pa.array(sizes[k], pa.int64()) for k in range(3)}}
+            for k in range(3):
+                columns[f"k{k}"] = pa.array([x[0] for x in blobs[k]], pa.binary())
+                columns[f"c{k}"] = pa.array([x[1] for x in blobs[k]], pa.binary())
+            del tokens, blobs, table
+            yield pa.RecordBatch.from_pydict(columns)
 
     return rows.mapInArrow(run, "bucket int, block long, check long, n0 long, n1 long, n2 long, k0 binary, c0 binary, k1 binary, c1 binary, k2 binary, c2 binary")
 
