@@ -1,0 +1,106 @@
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from loomwork.functions import scalars as sc
+from loomwork.operators import detection as det
+from loomwork.operators import gates
+from loomwork.operators import relational as rel
+from loomwork.operators.components import connected_components
+from loomwork.sources import files, sinks
+from loomwork.streaming.ingest import ingest_new
+
+
+def test_hamming_pairs_are_all_pairs_within_the_distance(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    rows = [(i, base[i % 12] ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(6)))) for i in range(80)]
+    got = {(r["a"], r["b"]) for r in rel.hamming_pairs(spark.createDataFrame(rows, "id long, h long"), "id", "h", 4).collect()}
+    first = {}
+    for i, h in rows:
+        first.setdefault(h, i)
+    want = {(min(i, j), max(i, j)) for h, i in first.items() for g, j in first.items() if i != j and bin(h ^ g).count("1") <= 4}
+    want |= {(first[h], i) for i, h in rows if first[h] != i}
+    assert got == want
+
+
+def test_components_of_a_long_path_and_of_nothing(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_matching_is_greedy_by_score_and_breaks_ties_by_the_last_box(spark):
+    truth = spark.createDataFrame([(1, 0, 5, 0.0, 0.0, 10.0, 10.0), (1, 1, 6, 0.0, 0.0, 10.0, 10.0), (2, 0, 5, 0.0, 0.0, 4.0, 4.0)], "image_id long, pos long, label long, x1 double, y1 double, x2 double, y2 double")
+    pred = spark.createDataFrame([(1, 0, 5, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 1, 5, 0.0, 0.0, 10.0, 10.0, 0.8), (3, 0, 5, 0.0, 0.0, 1.0, 1.0, 0.5)], "image_id long, pos long, label long, x1 double, y1 double, x2 double, y2 double, score double")
+    rows = det.match_boxes(truth, pred)
+    matched = {(r["pred_pos"], r["truth_pos"]) for r in rows.where("image_id = 1").collect()}
+    assert matched == {(0, 1), (1, 0)}
+    m = det.micro_metrics(rows).first()
+    assert (m["tp"], m["fp"], m["fn"]) == (1, 2, 2)
+    assert {(r["pred_pos"], r["truth_pos"]) for r in det.match_boxes(truth, pred, tie_highest=False).where("image_id = 1").collect()} == {(0, 0), (1, 1)}
+
+
+def test_best_threshold_takes_the_highest_of_equal_ones(spark):
+    scored = spark.createDataFrame([(0.9, True), (0.8, True), (0.1, False)], "score double, correct boolean")
+    assert det.best_threshold(det.confidence_curve(scored, 2)).first()["step"] == 80
+
+
+def test_average_precision_against_its_definition(spark):
+    rows = [(1, 0.9, 0, True), (1, 0.8, 1, False), (1, 0.7, 2, True), (1, 0.6, 3, False)]
+    got = det.average_precision(spark.createDataFrame(rows, "label long, score double, pos long, correct boolean"), spark.createDataFrame([(1, 3)], "label long, n long")).first()["ap"]
+    curve = [(1 / 3, 1.0), (1 / 3, 1 / 2), (2 / 3, 2 / 3), (2 / 3, 1 / 2)]
+    want = sum(max([p for r, p in curve if r >= k / 100 - 1e-12], default=0.0) for k in range(101)) / 101
+    assert abs(got - want) < 1e-9
+
+
+def test_gates_report_and_raise(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k long, v string")
+    assert [r["key"] for r in gates.unique_key(df, "k").collect()] == ["1"]
+    assert gates.holds(df, "k", F.col("v") == "a", "is_a").count() == 2
+    assert gates.row_count(df, 3).count() == 0
+    try:
+        gates.require(gates.row_count(df, 4))
+    except ValueError as error:
+        assert "row_count" in str(error)
+    else:
+        raise AssertionError
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([("", "x", 0.8, 5), (None, "", 0.81, 2)], "a string, b string, s double, n long")
+    rows = df.select(sc.first_filled(F.col("a"), F.col("b"), F.lit("z")).alias("f"), sc.score_bucket(F.col("s")).alias("s"), sc.count_bin(F.col("n")).alias("n")).collect()
+    assert [tuple(r) for r in rows] == [("x", "medium", "4+"), ("z", "high", "2")]
+
+
+def test_files_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
+    sinks.write_jsonl(df, str(tmp_path / "rows"))
+    assert files.read_jsonl(spark, str(tmp_path / "rows"), "id long, name string").orderBy("id").collect() == df.collect()
+    (tmp_path / "coco.json").write_text(json.dumps({"categories": [{"id": 1, "name": "x"}], "images": [{"id": 4, "file_name": "f"}], "annotations": [{"id": 9, "image_id": 4, "bbox": [0.0, 1.0, 2.0, 3.0]}]}))
+    assert files.read_coco(spark, str(tmp_path / "coco.json"), "train")["annotations"].first()["split"] == "train"
+    (tmp_path / "v.xml").write_text("<annotation><filename>f.jpg</filename><object><name>cat</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object></annotation>")
+    assert tuple(files.read_voc(spark, str(tmp_path / "v.xml")).first()) == ("f.jpg", "cat", 1.0, 2.0, 3.0, 4.0)
+
+
+def test_exports(spark):
+    images = spark.createDataFrame([("train", 7, "b.jpg", 100, 50), ("train", 3, "a.jpg", 100, 50)], "split string, image_id long, file_name string, width int, height int")
+    boxes = spark.createDataFrame([(7, 1, 2, 10.0, 5.0, 20.0, 10.0)], "image_id long, ann_id long, category_id int, x double, y double, w double, h double")
+    document = json.loads(sinks.coco_document(images, boxes, spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")).first()["document"])
+    assert [i["file_name"] for i in document["images"]] == ["a.jpg", "b.jpg"]
+    assert document["annotations"][0]["image_id"] == 2
+    labels = {r["file_name"]: r["labels"] for r in sinks.yolo_labels(images, boxes).collect()}
+    assert labels == {"a.jpg": "", "b.jpg": "1 0.200000 0.200000 0.200000 0.200000"}
+
+
+def test_ingest_takes_new_files_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    run = lambda: ingest_new(spark, str(source), "id long, v string", str(tmp_path / "out"), str(tmp_path / "state"), "id").awaitTermination()
+    (source / "a.json").write_text('{"id": 1, "v": "x"}\n{"id": 1, "v": "y"}\n')
+    run()
+    (source / "b.json").write_text('{"id": 1, "v": "z"}\n{"id": 2, "v": "z"}\n')
+    run()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
