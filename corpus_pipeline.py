@@ -16,7 +16,7 @@ from loomwork.llm.minhash import near_duplicates
 from loomwork.llm.mixing import mixed
 from loomwork.llm.repetition import drop_repetitive
 from loomwork.llm.sharding import shard_documents
-from loomwork.llm.store import shared_folder
+from loomwork.store import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
