@@ -28,26 +28,43 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, iou: float = 0.5, tie_hi
     """
     box = ["x1", "y1", "x2", "y2"]
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        # an image on one side only comes with an empty table, without columns
-        left = left.reindex(columns=["pos", "label", *box]).sort_values("pos")
-        right = right.reindex(columns=["pos", "label", "score", *box])
-        right = right.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
-        over = _overlaps(right[box].to_numpy(float).reshape(-1, 4), left[box].to_numpy(float).reshape(-1, 4))
+    def one_image(image: int, left: np.ndarray, right: np.ndarray) -> list[tuple]:
+        """left: rows of (pos, label, box); right: rows of (pos, label, box, score)."""
+        left = left[np.argsort(left[:, 0], kind="stable")]
+        right = right[np.lexsort((right[:, 0], -right[:, 6]))]
+        over = _overlaps(right[:, 2:6], left[:, 2:6])
         free, out = np.ones(len(left), bool), []
-        names, places = left["label"].tolist(), left["pos"].tolist()
-        for i, (pos, label, score) in enumerate(zip(right["pos"], right["label"], right["score"], strict=True)):
+        for i, row in enumerate(right):
             own = np.where(free, over[i], -1.0)
             j = (len(own) - 1 - int(np.argmax(own[::-1])) if tie_highest else int(np.argmax(own))) if len(own) else -1
+            mine = (image, int(row[0]), float(row[6]), int(row[1]))
             if j >= 0 and own[j] >= iou:
                 free[j] = False
-                out.append((key[0], pos, score, label, places[j], names[j], float(own[j])))
+                out.append((*mine, int(left[j, 0]), int(left[j, 1]), float(own[j])))
             else:
-                out.append((key[0], pos, score, label, None, None, None))
-        out += [(key[0], None, None, None, places[j], names[j], None) for j in np.flatnonzero(free)]
-        return pd.DataFrame(out, columns=["image_id", "pred_pos", "score", "pred_label", "truth_pos", "truth_label", "overlap"]).astype({"pred_pos": "Int64", "pred_label": "Int64", "truth_pos": "Int64", "truth_label": "Int64"})
-
-    return truth.groupBy("image_id").cogroup(predicted.groupBy("image_id")).applyInPandas(run, "image_id long, pred_pos long, score double, pred_label long, truth_pos long, truth_label long, overlap double")
+                out.append((*mine, None, None, None))
+        return out + [(image, None, None, None, int(left[j, 0]), int(left[j, 1]), None) for j in np.flatnonzero(free)]
+
+    names = ["image_id", "pred_pos", "score", "pred_label", "truth_pos", "truth_label", "overlap"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        # a side without rows comes without columns
+        left, right = left.reindex(columns=["image_id", "pos", "label", *box]), right.reindex(columns=["image_id", "pos", "label", *box, "score"])
+        parts = []
+        for df in (left, right):
+            df = df.sort_values("image_id", kind="stable")
+            ids, starts = np.unique(df["image_id"].to_numpy(np.int64), return_index=True)
+            values = df.drop(columns="image_id").to_numpy(float)
+            parts.append(dict(zip(ids.tolist(), np.split(values, starts[1:]), strict=True)) if len(ids) else {})
+        out = [row for k in sorted({*parts[0], *parts[1]}) for row in one_image(k, parts[0].get(k, np.zeros((0, 6))), parts[1].get(k, np.zeros((0, 7))))]
+        return pd.DataFrame(out, columns=names).astype({"pred_pos": "Int64", "pred_label": "Int64", "truth_pos": "Int64", "truth_label": "Int64"})
+
+    # many images a call: runs of about 20,000 boxes, whole images each
+    runs = max(8, truth.count() // 20_000)
+    own = lambda df: df.withColumn("run", F.pmod(F.xxhash64("image_id"), F.lit(runs))).groupBy("run")
+    # fresh columns: both sides may come from one table, and cogroup mixes up columns that they share
+    predicted = predicted.select(*[F.col(c).alias(c) for c in ["image_id", "pos", "label", *box, "score"]])
+    return own(truth).cogroup(own(predicted)).applyInPandas(run, "image_id long, pred_pos long, score double, pred_label long, truth_pos long, truth_label long, overlap double")
 
 
 def micro_metrics(matches: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def a5_images_and_boxes(spark: SparkSession, sf: str) -> DataFrame:
 _BUCKET = "CASE WHEN score > 0.80 THEN 'high' WHEN score >= 0.50 THEN 'medium' WHEN score > 0.20 THEN 'low' ELSE 'none' END"
 
 
-@query(f"""SELECT {_BUCKET} AS bucket, split, count(*) AS n, count(*) FILTER (w * h < 400) AS tiny, count(*) FILTER (x = 0 OR y = 0) AS edge, sum(CAST(w AS BIGINT)) AS width
+@query(f"""SELECT {_BUCKET} AS bucket, split, count(*) AS n, count(*) FILTER (w * h < 400) AS tiny, count(*) FILTER (x = 0 OR y = 0) AS edge, CAST(sum(CAST(w AS BIGINT)) AS BIGINT) AS width
 FROM {BOX} GROUP BY GROUPING SETS ((bucket), (bucket, split))""")
 def a6_bucket_audit(spark: SparkSession, sf: str) -> DataFrame:
     b = _box(spark, sf).withColumn("bucket", sc.score_bucket(F.col("score")))
