@@ -42,6 +42,8 @@ class NearDuplicateRules:
     coordinates: int = 48
     least_matches: int = 24
     pivot_rounds: int = 2
+    pairs_in_a_task: int = 5_000  # confirmed by one task
+    held_bytes: int = 64 << 20  # shingle sets that such a task remembers
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,20 +125,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rules: NearDu
     matches = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     sized = 100 * F.least("n_a", "n_b") >= rules.percent * F.greatest("n_a", "n_b")
     likely = stored(pairs.join(side("a"), "a").where("sig_a is not null").join(side("b"), "b").where(sized & (matches >= rules.least_matches)).select("a", "b"))
-    if likely.isEmpty():
+    n = likely.count()
+    if not n:
         return likely
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
     texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     both = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    # short texts make many pairs of few bytes: tasks are cut by pairs, not by size
+    both = both.repartition(-(-n // rules.pairs_in_a_task), "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[object, np.ndarray] = {}  # sets made so far, forgotten beyond held_bytes
+        held = 0
         for batch in batches:
             similar = np.zeros(batch.num_rows, bool)
-            done: dict[str, np.ndarray] = {}  # a pivot's set, made once a batch
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if y not in done:
-                    done = {y: _one_set(y, rules.width)} if len(done) > 64 else done | {y: _one_set(y, rules.width)}
-                p, q = _one_set(x, rules.width), done[y]
+            for i, ids in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                both_sets = []
+                for side, doc in enumerate(ids):
+                    if doc not in known:
+                        if held > rules.held_bytes:
+                            known, held = {}, 0
+                        known[doc] = _one_set(batch.column(2 + side)[i].as_py(), rules.width)
+                        held += known[doc].nbytes
+                    both_sets.append(known[doc])
+                p, q = both_sets
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 similar[i] = 100 * common >= rules.percent * (len(p) + len(q) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(similar))
