@@ -11,7 +11,8 @@ Large posting lists are not expanded into pairs.  Each round compares the member
 of a list with one pivot of it only, joins what is confirmed into components, and
 skips lists that lie in one component (skip merging).  After the pivot rounds the
 members that are still in other components are compared with every member of the
-list's other components, so no link between components is lost.
+list's other components, block by block, so no link between components is lost;
+only links come out of a block, never pairs, and those at most one for each member.
 
 Defined results: shingles are runs of `width` lower-cased words, a shorter text is
 one shingle, a text without words (or null) has the empty set and links with
@@ -42,6 +43,7 @@ class NearDuplicateRules:
     coordinates: int = 48
     least_matches: int = 24
     pivot_rounds: int = 2
+    unit_shingles: int = 200_000  # in a block of the last round
     pairs_in_a_task: int = 5_000  # confirmed by one task
     held_bytes: int = 64 << 20  # shingle sets that such a task remembers
 
@@ -174,16 +176,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges, label = None, None
     for step in range(rules.pivot_rounds + 1):
         placed = posts.withColumn("comp", F.col("doc_id")) if label is None else posts.join(label, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        lists = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct((F.xxhash64(F.lit(step), "doc_id") if step else F.col("doc_id")).alias("turn"), "doc_id", "comp")).alias("pivot")).where("low < high")
         if step < rules.pivot_rounds:
+            lists = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct((F.xxhash64(F.lit(step), "doc_id") if step else F.col("doc_id")).alias("turn"), "doc_id", "comp")).alias("pivot")).where("low < high")
             met = placed.join(lists.select("key", F.col("pivot.doc_id").alias("p"), F.col("pivot.comp").alias("pc")), "key").where("comp <> pc")
-            pairs = met.select(F.greatest("doc_id", "p").alias("a"), F.least("doc_id", "p").alias("b"))
+            pairs = met.select(F.greatest("doc_id", "p").alias("a"), F.least("doc_id", "p").alias("b")).distinct()
+            found = stored(_confirmed(pairs, sets, docs, rules))
         else:
-            pairs = _rest(placed.join(lists.select("key"), "key"), sets)
-        pairs = pairs.distinct()
-        if edges is not None:
-            pairs = pairs.join(edges, ["a", "b"], "left_anti")
-        found = stored(_confirmed(pairs, sets, docs, rules))
+            found = stored(_unit_pairs(stored(placed), sets, docs, rules))
         if edges is not None and found.isEmpty():
             continue
         edges = found if edges is None else stored(edges.unionByName(found))
@@ -194,11 +193,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return named.select(F.col("doc_id").alias(id_col), "n_shingles", of_doc.alias("component_id"), (F.col("doc_id") == of_doc).alias("kept"))
 
 
-def _rest(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of list members from different components, small components against all members."""
-    size = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    # the largest component of a list meets the others, but not itself
-    x, y = placed.select("key", F.col("doc_id").alias("x"), F.col("comp").alias("cx")), placed.select("key", F.col("doc_id").alias("y"), F.col("comp").alias("cy"))
-    largest = size.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    small = x.join(largest, "key").where("cx <> main")
-    return small.join(y, "key").where("cx <> cy").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+def _unit_pairs(placed: DataFrame, sets: DataFrame, docs: DataFrame, rules: NearDuplicateRules) -> DataFrame:
+    """Links (a, b) between members of one list that are in different components yet, at most one for each member and unit.
+
+    A list is cut into units: blocks of its members outside its largest component meet
+    blocks of all its members, each block of about unit_shingles shingles, so that no unit
+    grows with the list.  Pairs live inside a unit only.  Lists of the same members count once.
+    """
+    weighed = placed.join(sets.select("doc_id", "n_shingles"), "doc_id")
+    member = F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"h{k}") for k in (0, 1))
+    parts = weighed.groupBy("key", "comp").agg(*member)
+    largest = F.max(F.struct("n", "comp", "w"))
+    whole = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"), largest.alias("main")).where("parts > 1")
+    blocks = lambda w: F.ceil(w / rules.unit_shingles).cast("int")
+    lists = whole.groupBy("h0", "h1", "n").agg(F.min("key").alias("key"), F.first("main.comp").alias("main"), blocks(F.first("w") - F.first("main.w")).alias("few"), blocks(F.first("w")).alias("all")).select("key", "main", "few", "all")
+    met = placed.join(lists, "key")
+    turn = lambda n: F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.col(n)).cast("int")
+    every = met.select("key", "doc_id", "comp", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), turn("all").alias("j"))
+    others = met.where("comp <> main and all > 1").select("key", "doc_id", "comp", turn("few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"))
+    units = every.union(others)
+    texts = docs.join(units.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    full = units.join(sets.select("doc_id", "sig").join(texts, "doc_id"), "doc_id")
+
+    def compare(unit: pa.Table) -> pa.Table:
+        first = {doc: i for i, doc in enumerate(unit.column("doc_id").to_pylist())}
+        unit = unit.take(list(first.values())).combine_chunks()
+        ids = list(first)
+        sig = np.asarray(unit.column("sig").combine_chunks().flatten()).reshape(len(ids), -1)
+        comp = np.asarray(unit.column("comp").combine_chunks().dictionary_encode().indices)
+        links = _forest(sig, comp, *_sets_of(unit.column("text"), rules.width), rules)
+        kind = unit.schema.field("doc_id").type
+        ends = [(max(ids[x], ids[y]), min(ids[x], ids[y])) for x, y in links]
+        return pa.table([pa.array([e[k] for e in ends], kind) for k in (0, 1)], names=["a", "b"])
+
+    kind = placed.schema["doc_id"].dataType
+    return full.groupBy("key", "i", "j").applyInArrow(compare, T.StructType([T.StructField(x, kind) for x in "ab"]))
+
+
+def _sets_of(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of all texts on end, as numbers that count from 0, and where each begins."""
+    keys, counts = [], []
+    for _, _, data, offsets in chunks(texts):
+        found, starts = _shingles(data, offsets, width)
+        keys.append(found)
+        counts.append(np.diff(starts))
+    numbers = np.unique(np.concatenate(keys), return_inverse=True)[1]
+    return numbers, np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
+def _forest(sig: np.ndarray, comp: np.ndarray, numbers: np.ndarray, starts: np.ndarray, rules: NearDuplicateRules) -> list[tuple[int, int]]:
+    """Links that join the components of a unit, none between members joined already."""
+    sizes = np.diff(starts)
+    root = comp.copy()
+    mark = np.zeros(int(numbers.max(initial=0)) + 1, bool)
+    links: list[tuple[int, int]] = []
+    for x in np.flatnonzero(comp != np.bincount(comp).argmax()):
+        near = np.flatnonzero((root != root[x]) & (100 * np.minimum(sizes, sizes[x]) >= rules.percent * np.maximum(sizes, sizes[x])) & (sizes > 0))
+        near = near[np.count_nonzero(sig[near] == sig[x], axis=1) >= rules.least_matches]
+        if not len(near):
+            continue
+        own = numbers[starts[x] : starts[x + 1]]
+        mark[own] = True
+        ends = np.cumsum(sizes[near])
+        begins = ends - sizes[near]
+        at = np.arange(ends[-1]) + np.repeat(starts[near] - begins, sizes[near])
+        common = np.add.reduceat(mark[numbers[at]], begins, dtype=np.int64)
+        mark[own] = False
+        for y in near[100 * common >= rules.percent * (sizes[near] + sizes[x] - common)]:
+            if root[y] != root[x]:
+                root[root == root[y]] = root[x]
+                links.append((int(x), int(y)))
+    return links

@@ -84,6 +84,9 @@ def test_near_duplicates(docs, nothing, texts):
                 parent[b] = a
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, rules=minhash.NearDuplicateRules(width=4)).collect()}
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
+    # no pivots and small units: lists are cut into many blocks that meet each other
+    cut = minhash.near_duplicates(docs, rules=minhash.NearDuplicateRules(width=4, pivot_rounds=0, unit_shingles=100)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in cut} == got
     assert minhash.near_duplicates(nothing).count() == 0
 
 
