@@ -1,13 +1,16 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed.  A line that several documents hold pairs each later document with
-the earliest holder only, so a line of n holders makes n - 1 pairs at any n; of a
-document's shared lines the rarest come first when a pair is formed, and a pair is
-formed once.  Each pair is aligned with patience diff (anchors are the lines unique in
-both, in longest increasing order, extended to their neighbours), and the aligned
-blocks of at least `block_chars` characters are deleted from the later document.
-
-Defined results: later means the larger id; rows that share an id count as one
+Lines are hashed.  A line goes if it lies in an aligned block of at least `block_chars`
+characters with any earlier document that shares a line of `line_chars`.  Pairs are
+aligned with patience diff (anchors are the lines unique in both, in longest increasing
+order, extended to their neighbours).  The earliest holder of each shared line comes
+first, so a copied line of n holders mostly takes n - 1 pairs.  For lines still there,
+every least run of lines around them that has `block_chars` characters is looked up: a
+block that removes the line holds such a run in both documents.  Its earlier holders are
+aligned in growing portions until the line is removed or all have been tried, so lines
+that many documents share and no alignment removes cost pairs by the square.
+
+Defined results: later means the larger id; n_partners counts the alignments made; rows that share an id count as one
 document (the smallest lines array); null and empty texts have one empty line and pair
 with nothing; blank lines are no anchors, but may lie inside a block; repeated lines
 within one document stay (that is another rule's concern).
@@ -18,9 +21,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.store import stored
@@ -79,33 +83,105 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def least_runs(lengths: list[int], lines: list[int], chars: int) -> dict[tuple[int, int], list[int]]:
+    """The runs (first, last) of at least `chars` characters that hold one of `lines` and no shorter such run with it, each with these lines."""
+    n, total = len(lengths), [0, *accumulate(lengths)]
+    before, last = [], -1  # the nearest line before that has characters
+    for k, size in enumerate(lengths):
+        before.append(last)
+        last = k if size else last
+    runs: dict[tuple[int, int], list[int]] = {}
+    for k in lines:
+        s, best = k, n
+        while s >= 0 and best > k:
+            t = max(bisect_left(total, total[s] + chars) - 1, k)
+            if t < best:
+                runs.setdefault((s, t), []).append(k)
+                best = t
+            s = before[s]
+    return runs
+
+
+def run_keys(h: list[int], n: list[int], gone: set[int], rules: LineRules) -> dict[int, list[int]]:
+    """Keys a document is found by, each with the lines still there that look for its other holders.
+
+    Blank lines differ in length and share a hash, so runs count them as empty.  Lines
+    whose own run needs the length of a blank one look by every long line instead.
+    """
+    runs = least_runs([k if x else 0 for x, k in zip(h, n, strict=True)], list(range(len(h))), rules.block_chars)
+    keys: dict[int, list[int]] = {}
+    for (s, t), lines in runs.items():
+        keys.setdefault(h[s] if s == t else hash(tuple(h[s : t + 1])), []).extend(k for k in lines if k not in gone)
+    there: list[int] = []
+    if any(k and not x for x, k in zip(h, n, strict=True)):
+        own = least_runs(n, [k for k in range(len(h)) if k not in gone], rules.block_chars)
+        there = sorted({k for (s, t), lines in own.items() if any(n[i] and not h[i] for i in range(s, t + 1)) for k in lines})
+    for x, k in zip(h, n, strict=True):
+        if x and k >= rules.line_chars:
+            keys[x] = sorted({*keys.get(x, ()), *there})
+    return keys
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_partners, removed (indices of deleted lines, sorted), removed_chars."""
     rules = rules or LineRules()
+    kind = docs.schema[id_col].dataType.simpleString()
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     # one hash for all blank lines
     arrays = docs.select(F.col(id_col).alias("doc_id"), lines.alias("l")).select("doc_id", F.transform("l", lambda x: F.when(F.trim(x) == "", F.lit(0)).otherwise(F.xxhash64(x))).alias("h"), F.transform("l", F.length).alias("n"))
     arrays = stored(arrays.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("x")).select("doc_id", "x.h", "x.n"))
-    posts = arrays.select("doc_id", F.explode(F.arrays_zip("h", "n")).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.n").alias("n")).where((F.col("n") >= rules.line_chars) & (F.col("h") != 0)).select("doc_id", "h")
-    shared = posts.groupBy("h").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("df")).where("earlier < latest")
-    pairs = posts.join(shared, "h").where("doc_id > earlier").groupBy("doc_id", "earlier").agg(F.min("df").alias("rarest"))
     early = arrays.select(F.col("doc_id").alias("earlier"), F.col("h").alias("a"))
-    both = pairs.select("doc_id", "earlier").join(early, "earlier").join(arrays.withColumnRenamed("h", "b"), "doc_id").select("doc_id", "a", "b", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = []
-            for a, b, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for a, b, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if {x for x, k in zip(b, n, strict=True) if x and k >= rules.line_chars}.isdisjoint(a):
+                    gone.append(None)
+                    continue
                 out: list[int] = []
                 for _, j, size in patience_blocks(a, b):
                     if sum(n[j : j + size]) >= rules.block_chars:
                         out.extend(range(j, j + size))
                 gone.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "earlier", "gone"])
+
+    def align(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("doc_id", "earlier").join(early, "earlier").join(arrays.withColumnRenamed("h", "b"), "doc_id").select("doc_id", "earlier", "a", "b", "n")
+        return stored(both.mapInArrow(run, f"doc_id {kind}, earlier {kind}, gone array<int>"))
 
-    aligned = both.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, gone array<int>")
-    removed = aligned.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_partners"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("removed"))
-    out = arrays.join(removed, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    def union_of(aligned: DataFrame) -> DataFrame:
+        return aligned.groupBy("doc_id").agg(F.count("gone").alias("n_partners"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("removed"))
+
+    posts = arrays.select("doc_id", F.explode(F.arrays_zip("h", "n")).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.n").alias("n")).where((F.col("n") >= rules.line_chars) & (F.col("h") != 0)).select("doc_id", "h")
+    shared = posts.groupBy("h").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest")).where("earlier < latest")
+    aligned = align(posts.join(shared.select("h", "earlier"), "h").where("doc_id > earlier").select("doc_id", "earlier").distinct())
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys, left = [], [], []
+            for r, (h, n, gone) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+                for key, at in run_keys(h, n, set(gone or ()), rules).items():
+                    rows.append(r)
+                    keys.append(key)
+                    left.append(at or None)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(keys, pa.int64()), pa.array(left, pa.list_(pa.int32()))], names=["doc_id", "key", "at"])
+
+    held = arrays.join(union_of(aligned).select("doc_id", "removed"), "doc_id", "left").select("doc_id", "h", "n", "removed").mapInArrow(post, f"doc_id {kind}, key long, at array<int>")
+    by = Window.partitionBy("key").orderBy("doc_id")
+    held = held.where("doc_id is not null").withColumns({"place": F.row_number().over(by), "next": F.lead("doc_id").over(by)})
+    held = stored(held.where("place > 1 or next is not null").drop("next"))
+    active, low, high = held.where("place > 1 and at is not null"), 0, 8
+    while active.limit(1).count():
+        salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
+        portion = held.where((F.col("place") > low) & (F.col("place") <= high)).select("key", F.col("doc_id").alias("earlier"), salts)
+        pairs = active.select("key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int").alias("salt")).join(portion, ["key", "salt"]).where("earlier < doc_id").select("doc_id", "earlier").distinct()
+        aligned = aligned.unionByName(align(pairs.join(aligned.select("doc_id", "earlier"), ["doc_id", "earlier"], "left_anti")))
+        still = F.size(F.array_except("at", F.coalesce("removed", F.array().cast("array<int>")))) > 0
+        active = stored(active.where(F.col("place") > high + 1).join(union_of(aligned).select("doc_id", "removed"), "doc_id", "left").where(still).select("doc_id", "key", "at", "place"))
+        low, high = high, high * 8
+
+    out = arrays.join(union_of(aligned), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda s, i: s + F.element_at("n", i + 1))
     return out.select("doc_id", F.size("h").cast("long").alias("n_lines"), F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"), "removed", chars.alias("removed_chars"))
 

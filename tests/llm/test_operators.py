@@ -160,6 +160,27 @@ def test_line_alignment(docs, nothing, spark):
     assert line_dedup.repeated_lines(nothing).count() == 0
 
 
+def test_line_alignment_tries_every_earlier_document(spark):
+    rng = random.Random(5)
+    pool = [f"{c} {'shared line ' * k}"[: 12 * k] + "!" * (k % 3) for c in "abcdefgh" for k in (1, 2, 3, 4)] + ["", "", "     ", "x", "yy"]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {i} {rng.random()}" for _ in range(rng.randrange(1, 14)))) for i in range(90)]
+    x, y, one, two = "the first of two neighbouring lines", "the second of two lines", "a line of forty characters or rather more, one", "a line of forty characters or rather more, two"
+    rows += [(100, f"{x}\nqqq"), (101, f"ppp\n{y}"), (102, f"{x}\n{y}\nrrr"), (103, f"sss\n{x}\n{y}")]  # earliest holders differ
+    rows += [(110, f"{two}\nt\n{one}"), (111, f"{one}\nu\n{two}\nv\nw"), (112, f"1\n{one}\nu\n{two}\n2")]  # the earliest holder has another order
+    want = {}
+    for i, t in rows:
+        b, gone = t.split("\n"), set()
+        for _, s in (r for r in rows if r[0] < i):
+            a = s.split("\n")
+            if {z for z in b if len(z) >= 20 and z.strip()} & set(a):
+                for _, j, n in line_dedup.patience_blocks([z.strip(" ") and z for z in a], [z.strip(" ") and z for z in b]):
+                    if sum(map(len, b[j : j + n])) >= 40:
+                        gone |= set(range(j, j + n))
+        want[i] = sorted(gone)
+    got = {r["doc_id"]: list(r["removed"]) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and want[103] == [1, 2] and want[112] == [1, 2, 3]
+
+
 def test_personal_data(spark, nothing):
     base = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     digits = lambda s: re.sub("[^0-9]", "", s)
