@@ -5,10 +5,12 @@ High-recall generators propose further, overlapping spans (spelled-out emails, c
 phone numbers in other formats, defanged addresses, secrets).  Every proposal has a few
 small integer features of its format and context.  Boosted trees are trained on the
 counts of each feature combination over all documents (a table bounded by the product
-of the feature ranges, never rows), with the validated base spans as positive examples
-and proposals that no validator accepts as negative ones.  A threshold for each kind is
-the lowest score whose precision on those counts is at least `precision`.  Of proposals
-that overlap, the base span and then the better score wins.
+of the feature ranges, never rows), with the validated base spans and the proposals that
+their format's validator accepts as positive examples and the others as negative ones.
+A score is accepted for a kind if at least `precision` of the proposals with just that
+score that cross no base span are positive, so neither base spans nor other formats
+decide over a format.  Of proposals that overlap, the base span and then the better
+score wins.
 
 Defined results: a null text counts as empty and has no spans; positions are code
 points, end exclusive; an empty table gives no rows and trains no trees; rows that
@@ -35,7 +37,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MORE = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?:(?:\.| \. ?| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\[?\.\]?[0-9]{1,3}+){3}",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z.+])(?:\+|00|\()[0-9][\x20().0-9/-]{5,24}[0-9](?![0-9])",
@@ -44,7 +46,7 @@ MORE = {
 #: What a text must hold for its patterns to be tried at all.
 NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\]?\[?\.\]?[0-9]", "card": r"[0-9][\x20._/-]?[0-9][\x20._/-]?[0-9][\x20._/-]?[0-9]", "phone": r"\+[0-9]|00[0-9]|\([0-9]", "secret": r"[=:]"}
 CONTEXT = r"(?i)card|visa|phone|tel|call|mail|contact|address|token|key|pass|secret|\bip\b"
-FEATURES = ("kind", "digits", "luhn", "octets", "mixed", "plus", "spelled", "joined", "context")
+FEATURES = ("kind", "digits", "luhn", "octets", "mixed", "plus", "spelled", "joined", "context", "formed")
 
 
 @dataclass(frozen=True)
@@ -94,6 +96,30 @@ def is_card(s: Column) -> Column:
 VALID = {"email": lambda s: F.lit(True), "ip": octets_fit, "card": is_card, "phone": lambda s: F.length(digits_of(s)).between(8, 15)}
 
 
+def issued(digits: Column) -> Column:
+    """Whether a number has the length and the Luhn sum of a card; below 16 digits also an issuer's prefix."""
+    n = F.length(digits)
+    prefix = digits.rlike("^(?:4[0-9]{12}|3(?:0[0-5]|[689][0-9])[0-9]{11}|3[47][0-9]{13}|(?:1800|2131)[0-9]{11})$")
+    return F.when(n.between(16, 19) | prefix, passes_luhn(digits)).otherwise(False)
+
+
+def is_spelled_email(s: Column) -> Column:
+    return s.rlike(r"^[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| \. ?| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)*(?:\.| \. ?| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z]{2,24}$")
+
+
+def is_phone_form(s: Column) -> Column:
+    """+, 00 or a closed area code; 16 to 19 digits without separators are a card's format."""
+    return s.rlike(r"^(?:\+|00[\x20().-]*[1-9]|\([0-9]{1,5}\))") & ~s.rlike("^[0-9]{16,}$")
+
+
+def is_foreign_phone(s: Column) -> Column:
+    return is_phone_form(s) & F.length(F.regexp_replace(digits_of(s), "^00", "")).between(8, 15)
+
+
+#: Validators of the further formats.
+ACCEPTED = {"email": is_spelled_email, "ip": lambda s: octets_fit(F.regexp_replace(s, r"\[\.\]", ".")), "card": lambda s: issued(digits_of(s)), "phone": is_foreign_phone}
+
+
 def base_spans(text: Column) -> Column:
     """All base spans, by kind and then start, as array<struct<kind:int, start, end>>."""
     parts = []
@@ -105,8 +131,12 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def crosses(s: Column, x: Column) -> Column:
+    return (s["start"] < x["end"]) & (x["start"] < s["end"])
+
+
 def proposals(text: Column, base: Column) -> Column:
-    """Proposed spans with features and whether a validator accepts them (a base span, or a mixed secret)."""
+    """Proposed spans with features, whether they cross no base span (fresh), and whether a validator accepts them (known: a base span, a mixed secret, or a fresh span of a valid format)."""
     parts = []
     for k, kind in enumerate(MORE):
         some = F.when(text.rlike(NEEDS[kind]), found_spans(text, MORE[kind]))
@@ -117,40 +147,46 @@ def proposals(text: Column, base: Column) -> Column:
             before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
             value = F.regexp_extract(x["s"], r"[A-Za-z0-9+/_-]+$", 0)
             mixed = (kind == "secret") & (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") if kind == "secret" else F.lit(False)
+            joins = (F.substring(text, x["start"], F.lit(1)).rlike("[A-Za-z0-9]") & (x["start"] > 0)) | F.substring(text, x["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]")
             features = {
                 "digits": F.least(F.floor(n / 2), F.lit(10)),
-                "luhn": F.when(n.between(13, 19), passes_luhn(digits)).otherwise(False),
+                "luhn": issued(digits),
                 "octets": octets_fit(F.regexp_replace(x["s"], r"[\[\]]", "")) if kind == "ip" else F.lit(False),
                 "mixed": mixed,
                 "plus": F.startswith(x["s"], F.lit("+")),
-                "spelled": x["s"].rlike(r"[\[(](?:at|dot)[\])]| |[\[\]]"),
-                "joined": F.substring(text, x["start"], F.lit(1)).rlike("[A-Za-z0-9]") & (x["start"] > 0),
+                "spelled": x["s"].rlike(r"[\x20()./-]" if kind == "phone" else r"[\[(](?:at|dot)[\])]| |[\[\]]"),
+                "joined": joins,
+                "formed": is_phone_form(x["s"]) if kind == "phone" else is_spelled_email(x["s"]) if kind == "email" else F.lit(True),
                 "context": before.rlike(CONTEXT) if kind != "secret" else F.lit(True),
             }
-            known = F.exists(base, lambda b: (b["kind"] == k) & (b["start"] == x["start"]) & (b["end"] == x["end"])) | mixed
-            return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), known.alias("known"), *(c.cast("int").alias(f) for f, c in features.items()))
+            fresh = ~F.exists(base, lambda b: crosses(b, x))
+            known = F.exists(base, lambda b: (b["kind"] == k) & (b["start"] == x["start"]) & (b["end"] == x["end"])) | (mixed if kind == "secret" else fresh & ~joins & ACCEPTED[kind](x["s"]))
+            return F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), known.alias("known"), fresh.alias("fresh"), *(features[f].cast("int").alias(f) for f in FEATURES[1:]))
 
-        kinds = "array<struct<kind:int,start:int,end:int,known:boolean," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
+        kinds = "array<struct<kind:int,start:int,end:int,known:boolean,fresh:boolean," + ",".join(f"{f}:int" for f in FEATURES[1:]) + ">>"
         parts.append(F.coalesce(F.transform(some, described), F.expr(f"cast(array() as {kinds})")))
     return F.concat(*parts)
 
 
-def trained(found: DataFrame, rules: PiiRules) -> tuple[list, dict[int, float]]:
-    """Trees and the threshold margin of each kind, from counts of feature combinations."""
+def trained(found: DataFrame, rules: PiiRules) -> tuple[list, dict[int, list[tuple[float, float]]]]:
+    """Trees and the accepted ranges of margins of each kind, from counts of feature combinations."""
     each = found.select(F.explode("more").alias("x"))
-    counts = each.groupBy(*(F.col(f"x.{f}").alias(f) for f in FEATURES)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.known").cast("int")).alias("good"))
+    known, fresh = F.col("x.known").cast("int"), F.col("x.fresh").cast("int")
+    counts = each.groupBy(*(F.col(f"x.{f}").alias(f) for f in FEATURES)).agg(F.count(F.lit(1)).alias("n"), F.sum(known).alias("good"), F.sum(fresh).alias("n_fresh"), F.sum(known * fresh).alias("good_fresh"))
     # at most the product of the feature ranges
     rows = counts.orderBy(*FEATURES).collect()
     x = np.array([[r[f] or 0 for f in FEATURES] for r in rows], int).reshape(-1, len(FEATURES))
-    n, good = np.array([r["n"] for r in rows], float), np.array([r["good"] or 0 for r in rows], float)
+    n, good, n_fresh, good_fresh = (np.array([r[c] or 0 for r in rows], float) for c in ("n", "good", "n_fresh", "good_fresh"))
     trees, margin = boost(x, list(FEATURES), good, n, rules.rounds, rules.depth)
-    limits = {}
-    for k in range(len(KINDS)):
-        own = np.flatnonzero(x[:, 0] == k) if len(rows) else np.zeros(0, int)
-        own = own[np.argsort(-margin[own], kind="stable")] if len(own) else own
-        ok = np.flatnonzero(np.cumsum(good[own]) >= rules.precision * np.cumsum(n[own])) if len(own) else []
-        limits[k] = float(margin[own[ok[-1]]]) if len(ok) else float("inf")
-    return trees, limits
+    ranges: dict[int, list[tuple[float, float]]] = {k: [] for k in range(len(KINDS))}
+    for k in ranges:
+        before = False
+        for level in np.unique(margin[(x[:, 0] == k) & (n_fresh > 0)]):
+            own = (x[:, 0] == k) & (margin == level)
+            if accepted := good_fresh[own].sum() >= rules.precision * n_fresh[own].sum():
+                ranges[k][-1:] = [(ranges[k][-1][0], float(level))] if before else [*ranges[k][-1:], (float(level), float(level))]
+            before = accepted
+    return trees, ranges
 
 
 def joined(spans: Column) -> Column:
@@ -163,12 +199,12 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rules = rules or PiiRules()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = stored(rows.withColumn("base", base_spans(F.col("text"))).select("doc_id", "base", proposals(F.col("text"), F.col("base")).alias("more")))
-    trees, limits = trained(found, rules)
+    trees, ranges = trained(found, rules)
     margin = lambda x: margin_column(trees, {f: x[f] for f in FEATURES})
-    limit = lambda x: F.element_at(F.array(*(F.lit(limits[k]) for k in range(len(KINDS)))), x["kind"] + 1)
-    crosses = lambda s, x: (s["start"] < x["end"]) & (x["start"] < s["end"])
-    fresh = F.filter("more", lambda x: ~F.exists("base", lambda b: crosses(b, x)))
-    scored = F.filter(F.transform(fresh, lambda x: F.struct((-margin(x)).alias("cost"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), (margin(x) >= limit(x)).alias("ok"))), lambda x: x["ok"])
+    bounds = F.array(*(F.array(*(F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")) for low, high in ranges[k] or [(1.0, 0.0)])) for k in range(len(KINDS))))
+    fresh = F.filter("more", lambda x: x["fresh"])
+    scored = F.transform(fresh, lambda x: F.struct((-margin(x)).alias("cost"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    scored = F.filter(scored, lambda x: F.exists(F.element_at(bounds, x["kind"] + 1), lambda b: (b["low"] <= -x["cost"]) & (-x["cost"] <= b["high"])))
     out = found.withColumn("scored", F.array_sort(scored))
     none = F.expr("cast(array() as array<struct<kind:int,start:int,end:int>>)")
     span = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))

@@ -196,6 +196,21 @@ def test_personal_data(spark, nothing):
     assert pii.span_report(nothing).count() == 0
 
 
+def test_personal_data_in_other_formats_however_frequent(spark):
+    good = ["ann{0}(at)mail(dot)org", "ann{0} [at] mail.example [dot] org", "10[.]1[.]2[.]{0}", "4111.1111/1111_1111", "378282246310005", "0049 30 1234{0:04}", "(030) 12345{0:03}"]
+    junk = ["1234567812345678", "12345678123456{0:02}", "00549940386934{0:02}", "a36974748794293d", "at 5{0} @ 3.50 each", "1700000000{0:03}", "10[.]1[.]2[.]999", "(12345678{0:02} of"]
+    kinds = ["email", "email", "ip", "card", "card", "phone", "phone"]
+    rows = [(f.format(k % 90 + 1), kind) for k in range(200) for f, kind in zip(good, kinds, strict=True)]
+    luhn = lambda d: sum(x - 9 if x > 9 else x for x in (int(c) * (2 if k % 2 else 1) for k, c in enumerate(reversed(d)))) % 10 == 0
+    rows += [(f.format(k % 90 + 1), None) for k in range(30) for f in junk]
+    rows += [("bob@mail.org +1 (234) 555-1234 4111111111111111 1.2.3.4", "base")] * 3
+    rows = [(i, f"see {s} é", s, kind) for i, (s, kind) in enumerate(rows) if kind or not luhn("".join(re.findall("[0-9]", s))) or s[0] == "a"]
+    got = {r["doc_id"]: (r["spans"], r["n_added"]) for r in pii.span_report(spark.createDataFrame(rows, "doc_id long, text string, s string, kind string")).collect()}
+    for i, _, s, kind in rows:
+        if kind != "base":
+            assert got[i] == ((f"{kind}:4:{4 + len(s)}", 1) if kind else ("", 0)), s
+
+
 def test_suffix_tree(docs, nothing, texts):
     got = {r["doc_id"]: r for r in suffix_tree.suffix_tree_scores(docs).collect()}
     tokens = [[*words(t), "\0"] for t in texts]
