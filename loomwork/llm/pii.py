@@ -41,7 +41,7 @@ MORE = {
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\[?\.\]?[0-9]{1,3}+){3}",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z.+])(?:\+|00|\()[0-9][\x20().0-9/-]{5,24}[0-9](?![0-9])",
-    "secret": r"(?i)(?:token|password|passwd|secret|api[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}[\x22']?[A-Za-z0-9+/_-]{8,200}",
+    "secret": r"(?i)(?:token|password|passwd|secret|api[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}[\x22']?[A-Za-z0-9+/_-]{8,}+={0,2}+",
 }
 #: What a text must hold for its patterns to be tried at all.
 NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\]?\[?\.\]?[0-9]", "card": r"[0-9][\x20._/-]?[0-9][\x20._/-]?[0-9][\x20._/-]?[0-9]", "phone": r"\+[0-9]|00[0-9]|\([0-9]", "secret": r"[=:]"}
@@ -145,7 +145,7 @@ def proposals(text: Column, base: Column) -> Column:
             digits = digits_of(x["s"])
             n = F.length(digits)
             before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-            value = F.regexp_extract(x["s"], r"[A-Za-z0-9+/_-]+$", 0)
+            value = F.regexp_extract(x["s"], r"[A-Za-z0-9+/_-]++={0,2}+$", 0)
             mixed = (kind == "secret") & (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") if kind == "secret" else F.lit(False)
             joins = (F.substring(text, x["start"], F.lit(1)).rlike("[A-Za-z0-9]") & (x["start"] > 0)) | F.substring(text, x["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]")
             features = {

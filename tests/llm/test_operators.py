@@ -211,6 +211,13 @@ def test_personal_data_in_other_formats_however_frequent(spark):
             assert got[i] == ((f"{kind}:4:{4 + len(s)}", 1) if kind else ("", 0)), s
 
 
+def test_long_secrets_are_covered_to_their_end(spark):
+    values = ["a1" * 8, "a1" * 100, "a1" * 100 + "b", "a1" * 150 + "+/Z=", "a1" * 50_000 + "=="]
+    rows = [(i, f"x token = {v} and") for i, v in enumerate(values)]
+    got = {r["doc_id"]: r["spans"] for r in pii.span_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: f"secret:2:{10 + len(v)}" for i, v in enumerate(values)}
+
+
 def test_suffix_tree(docs, nothing, texts):
     got = {r["doc_id"]: r for r in suffix_tree.suffix_tree_scores(docs).collect()}
     tokens = [[*words(t), "\0"] for t in texts]
