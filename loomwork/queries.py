@@ -115,8 +115,8 @@ def a12_a13_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 _PAIRS = f"(SELECT label AS truth_label, CASE WHEN pos = 3 THEN NULL ELSE CAST((label + pos - 1) % 11 + 1 AS BIGINT) END AS pred_label FROM {BOX} WHERE pos <= 4)"
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _box(spark, sf).where("pos <= 4").selectExpr("label AS truth_label", "CASE WHEN pos = 3 THEN NULL ELSE (label + pos - 1) % 11 + 1 END AS pred_label")
+def _pairs(spark: SparkSession, sf: str, rows: str = "pos <= 4") -> DataFrame:
+    return _box(spark, sf).where(rows).selectExpr("label AS truth_label", "CASE WHEN pos = 3 THEN NULL ELSE (label + pos - 1) % 11 + 1 END AS pred_label")
 
 
 _MATRIX = f"""WITH g AS (SELECT a.v AS truth, b.v AS pred FROM (SELECT unnest(range(0, 12)) AS v) a, (SELECT unnest(range(0, 12)) AS v) b),
@@ -136,6 +136,21 @@ def a17_class_report(spark: SparkSession, sf: str) -> DataFrame:
     return det.class_report(det.confusion(_pairs(spark, sf), list(range(1, 12)))).select("label", "tp", "fp", "fn", "support")
 
 
+#: The same over every line item.
+_ALL_PAIRS = _PAIRS.replace(" WHERE pos <= 4", "")
+_ALL_MATRIX = _MATRIX.replace(_PAIRS, _ALL_PAIRS)
+
+
+@query(_ALL_MATRIX + " SELECT CAST(truth AS BIGINT) AS truth, CAST(pred AS BIGINT) AS pred, CAST(n AS BIGINT) AS n, CAST(share AS DOUBLE) AS share FROM m")
+def a15_a16_confusion_all(spark: SparkSession, sf: str) -> DataFrame:
+    return det.confusion(_pairs(spark, sf, "true"), list(range(1, 12)))
+
+
+@query(_SQL["a17_class_report"].replace(_PAIRS, _ALL_PAIRS))
+def a17_class_report_all(spark: SparkSession, sf: str) -> DataFrame:
+    return det.class_report(det.confusion(_pairs(spark, sf, "true"), list(range(1, 12)))).select("label", "tp", "fp", "fn", "support")
+
+
 @query()
 def a10_a9_greedy_matching(spark: SparkSession, sf: str) -> DataFrame:
     b = _box(spark, sf).selectExpr("image_id", "pos", "label", "x AS x1", "y AS y1", "x + w AS x2", "y + h AS y2", "score")
@@ -384,11 +399,16 @@ _EDGES = "(SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer
 _COMP = f"WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}), r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), k AS (SELECT x AS node, min(y) AS component FROM r GROUP BY 1)"
 
 
-def _components(spark: SparkSession, sf: str) -> DataFrame:
-    edges = _t(spark, sf, "customer").where("c_custkey % 5 = 0").selectExpr("c_custkey AS src", "c_custkey + 1 + c_nationkey AS dst")
+def _components(spark: SparkSession, sf: str, rows: str = "c_custkey % 5 = 0") -> DataFrame:
+    edges = _t(spark, sf, "customer").where(rows).selectExpr("c_custkey AS src", "c_custkey + 1 + c_nationkey AS dst")
     return connected_components(edges)
 
 
+def _component_ids(nodes: DataFrame) -> DataFrame:
+    members = F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), "")
+    return nodes.groupBy("component").agg(F.substring(F.sha2(members, 256), 1, 16).alias("component_id"), F.count(F.lit(1)).alias("n")).drop("component")
+
+
 @query(f"{_COMP} SELECT node, component FROM k")
 def g1_g2_g3_components(spark: SparkSession, sf: str) -> DataFrame:
     return _components(spark, sf)
@@ -396,8 +416,20 @@ def g1_g2_g3_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_COMP} SELECT substr(sha256(string_agg(CAST(node AS VARCHAR), '' ORDER BY node)), 1, 16) AS component_id, count(*) AS n FROM k GROUP BY component")
 def a29_component_ids(spark: SparkSession, sf: str) -> DataFrame:
-    members = F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), "")
-    return _components(spark, sf).groupBy("component").agg(F.substring(F.sha2(members, 256), 1, 16).alias("component_id"), F.count(F.lit(1)).alias("n")).drop("component")
+    return _component_ids(_components(spark, sf))
+
+
+# over every customer one component holds nearly all nodes, and the closure of the SQL grows with its square: tests use union-find
+
+
+@query()
+def g1_g2_g3_components_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _components(spark, sf, "true")
+
+
+@query()
+def a29_component_ids_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _component_ids(_components(spark, sf, "true"))
 
 
 @query("SELECT user_id, island, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, CAST(sum(j) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS island FROM (SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) <= 50 THEN 0 ELSE 1 END AS j FROM events)) GROUP BY 1, 2")

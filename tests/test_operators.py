@@ -1,8 +1,10 @@
+import hashlib
 import json
 import random
 
 from pyspark.sql import functions as F
 
+from loomwork import queries as engine
 from loomwork.functions import scalars as sc
 from loomwork.operators import detection as det
 from loomwork.operators import gates
@@ -32,6 +34,36 @@ def test_components_of_a_long_path_and_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_component_queries_over_every_customer(spark):
+    sf = "/root/testdata/sf0.01"
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r in spark.read.parquet(f"{sf}/customer.parquet").collect():
+        a, b = sorted((find(r["c_custkey"]), find(r["c_custkey"] + 1 + r["c_nationkey"])))
+        parent[b] = a
+    members: dict[int, list[int]] = {}
+    for x in sorted(parent):
+        members.setdefault(find(x), []).append(x)
+    assert max(map(len, members.values())) > 1000
+    got = {r["node"]: r["component"] for r in engine.queries()["g1_g2_g3_components_all"](spark, sf).collect()}
+    assert got == {x: c for c, own in members.items() for x in own}
+    ids = sorted((r["component_id"], r["n"]) for r in engine.queries()["a29_component_ids_all"](spark, sf).collect())
+    assert ids == sorted((hashlib.sha256("".join(map(str, own)).encode()).hexdigest()[:16], len(own)) for own in members.values())
+
+
+def test_confusion_over_every_line_item(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert sum(r["n"] for r in engine.queries()["a15_a16_confusion_all"](spark, sf).collect()) == lines
+    assert sum(r["support"] for r in engine.queries()["a17_class_report_all"](spark, sf).collect()) == lines
+
+
 def test_matching_is_greedy_by_score_and_breaks_ties_by_the_last_box(spark):
     truth = spark.createDataFrame([(1, 0, 5, 0.0, 0.0, 10.0, 10.0), (1, 1, 6, 0.0, 0.0, 10.0, 10.0), (2, 0, 5, 0.0, 0.0, 4.0, 4.0)], "image_id long, pos long, label long, x1 double, y1 double, x2 double, y2 double")
     pred = spark.createDataFrame([(1, 0, 5, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 1, 5, 0.0, 0.0, 10.0, 10.0, 0.8), (3, 0, 5, 0.0, 0.0, 1.0, 1.0, 0.5)], "image_id long, pos long, label long, x1 double, y1 double, x2 double, y2 double, score double")
