@@ -66,10 +66,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         scan = base.select("doc_id", key, "n_words", F.lit(None).cast(nothing).alias("grams"))
     elif len(found) <= rules.broadcast_windows:
         anchors, hashes = sorted({r["anchor"] for r in found}), sorted({r["hash"] for r in found})
-        # full lower-casing finds every word that A-Z lower-casing finds, and is cheap on whole texts
-        loose = F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), BREAKS)
-        wide = base.sparkSession.createDataFrame([(x,) for x in anchors], "a string").select(F.collect_set(F.lower("a"))).first()[0]
-        maybe = F.exists(loose, lambda w: w.isin(wide))
+        # A-Z only, as in the windows: full lower-casing depends on a letter's neighbours (a final sigma)
+        loose = F.split(lowered(F.coalesce(F.col("text"), F.lit(""))), BREAKS)
+        maybe = F.exists(loose, lambda w: w.isin(anchors))
         short = lambda n: F.transform(F.filter(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.struct((i - 1).cast("int").alias("at"), F.xxhash64(F.slice("w", i, n)).alias("hash"))), lambda g: g["hash"].isin(hashes)), lambda g: F.struct(g["at"].alias("at"), F.lit(n).alias("len"), g["hash"].alias("hash"), F.slice("w", g["at"] + 1, n).alias("window")))
         hits = F.flatten(F.array(*[F.when(F.size("w") >= n, short(n)).otherwise(F.array()) for n in lengths]))
         scan = base.withColumn("w", F.when(maybe, low)).select("doc_id", key, "n_words", F.when(F.col("w").isNotNull(), hits).alias("grams"))

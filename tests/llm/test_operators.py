@@ -114,6 +114,14 @@ def test_decontamination_and_its_shuffled_form(spark, docs, nothing, texts):
     assert decontaminate.contamination(nothing, items).count() == 0
 
 
+def test_decontamination_finds_a_final_sigma_beside_a_mark(spark):
+    items = spark.createDataFrame([(1, "ΟΔΟΣ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "ΟΔΟΣ"), (2, "x ΟΔΟΣ'Α"), (3, "ΟΔΟΣ.Α"), (4, "ΟΔΟ"), (5, None)], "doc_id long, text string")
+    for limit in (100_000, 0):
+        rows = decontaminate.contamination(docs, items, rules=decontaminate.ContaminationRules(broadcast_windows=limit)).collect()
+        assert {r["doc_id"]: r["n_hit"] for r in rows} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+
+
 def test_sharding(docs, nothing, texts):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == len(texts)
