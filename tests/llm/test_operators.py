@@ -84,12 +84,29 @@ def test_near_duplicates(docs, nothing, texts):
                 parent[b] = a
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, rules=minhash.NearDuplicateRules(width=4)).collect()}
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
-    # no pivots and small units: lists are cut into many blocks that meet each other
-    cut = minhash.near_duplicates(docs, rules=minhash.NearDuplicateRules(width=4, pivot_rounds=0, unit_shingles=100)).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in cut} == got
+    # no pivots and small units: lists are cut into many blocks that meet each other; and every coordinate posted
+    for rules in (dict(pivots=False, unit_rows=2, unit_shingles=100), dict(least_matches=1)):
+        cut = minhash.near_duplicates(docs, rules=minhash.NearDuplicateRules(width=4, **rules)).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in cut} == got
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_with_shared_and_null_ids(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " x"), (9, c), (None, c + " y"), (None, "only here of all " * 3), (None, None), (9, c), (4, ""), (4, "")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, component_id string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, rules=minhash.NearDuplicateRules(width=4)).collect()), key=str)
+    n = len({tuple(("only here of all " * 3).split()[k : k + 4]) for k in range(9)})
+    want = [(5, 57, 5, True), (5, 57, 5, True), (7, 58, 5, False), (8, 58, 5, False), (9, 57, 9, True), (9, 57, 9, True), (None, 58, 9, False), (None, n, None, True), (None, 0, None, True), (4, 0, 4, True), (4, 0, 4, True)]
+    assert got == sorted(want, key=str)
+    left = minhash.drop_near_duplicates(df, rules=minhash.NearDuplicateRules(width=4))
+    assert left.columns == df.columns
+    left = [(r["doc_id"], r["text"]) for r in left.collect()]
+    first = min(a, b, key=lambda t: [x for x in left if x[0] == 5][0][1] != t)
+    assert sorted(left, key=str) == sorted([(5, first), (9, c), (None, "only here of all " * 3), (None, None), (4, ""), (4, "")], key=str)
+
+
 def test_decontamination_and_its_shuffled_form(spark, docs, nothing, texts):
     items = spark.createDataFrame([(1, " ".join(words(texts[8])[5:25])), (2, "one"), (3, None), (4, "..."), (10, " ".join(words(texts[13])[:13]))], "item_id long, text string")
     wordly = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
