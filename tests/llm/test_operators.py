@@ -107,7 +107,7 @@ def test_near_duplicates_with_shared_and_null_ids(spark):
     assert sorted(left, key=str) == sorted([(5, first), (9, c), (None, "only here of all " * 3), (None, None), (4, ""), (4, "")], key=str)
 
 
-def test_decontamination_and_its_shuffled_form(spark, docs, nothing, texts):
+def test_decontamination_whatever_the_probe(spark, docs, nothing, texts):
     items = spark.createDataFrame([(1, " ".join(words(texts[8])[5:25])), (2, "one"), (3, None), (4, "..."), (10, " ".join(words(texts[13])[:13]))], "item_id long, text string")
     wordly = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = {}
@@ -124,8 +124,8 @@ def test_decontamination_and_its_shuffled_form(spark, docs, nothing, texts):
                     hit |= set(range(k, k + n))
                     found |= windows[x]
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
-    for limit in (100_000, 3):
-        rows = decontaminate.contamination(docs, items, rules=decontaminate.ContaminationRules(broadcast_windows=limit)).collect()
+    for probe in (5, 13, 1):
+        rows = decontaminate.contamination(docs, items, rules=decontaminate.ContaminationRules(probe=probe)).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows} == want
     assert decontaminate.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(nothing, items).count() == 0
@@ -134,11 +134,25 @@ def test_decontamination_and_its_shuffled_form(spark, docs, nothing, texts):
 def test_decontamination_finds_a_final_sigma_beside_a_mark(spark):
     items = spark.createDataFrame([(1, "ΟΔΟΣ")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "ΟΔΟΣ"), (2, "x ΟΔΟΣ'Α"), (3, "ΟΔΟΣ.Α"), (4, "ΟΔΟ"), (5, None)], "doc_id long, text string")
-    for limit in (100_000, 0):
-        rows = decontaminate.contamination(docs, items, rules=decontaminate.ContaminationRules(broadcast_windows=limit)).collect()
+    for limit in ("10m", "-1"):  # broadcast and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        rows = decontaminate.contamination(docs, items).collect()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert {r["doc_id"]: r["n_hit"] for r in rows} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
 
 
+def test_decontamination_of_repeated_rows_and_null_ids(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, item, "a"), (None, "clean", "b"), (3, "x y " + item, "c"), (3, "x y " + item, "c"), (3, "clean", "d"), (4, item[:30], "e"), (5, " ".join(f"v{k}" for k in range(4000)) + " " + item.upper(), "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for probe in (5, 2):
+        rules = decontaminate.ContaminationRules(probe=probe)
+        got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.contamination(docs, items, rules=rules).collect()], key=str)
+        assert got == sorted([(None, 20, 20, True), (None, 1, 0, False), (3, 22, 20, True), (3, 22, 20, True), (3, 1, 0, False), (4, len(item[:30].split()), 0, False), (5, 4020, 20, False)], key=str)
+        assert sorted(r["hits"] for r in decontaminate.drop_contaminated(docs, items, rules=rules).collect()) == ["b", "d", "e", "f"]
+
+
 def test_sharding(docs, nothing, texts):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == len(texts)
