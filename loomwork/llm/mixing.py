@@ -10,7 +10,8 @@ of one more pass as its budget covers.
 
 Defined results: a null source is the source '' ; a null or empty text counts one
 token (so it can be placed); an empty table gives no rows; rows that repeat are
-placed one by one; other columns are kept.
+placed one by one, ties in the order of their hash, id and size; other columns are kept
+whatever their names (a struct carries them).
 """
 
 from __future__ import annotations
@@ -36,9 +37,8 @@ class MixRules:
 
 def token_count(text: Column) -> Column:
     """Words of a text, at least 1; the separators are space and 0x09-0x0D."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    plain = F.trim(squeezed)
-    return F.greatest(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1, F.lit(1)).cast("long")
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    return F.greatest(F.size(words), F.lit(1)).cast("long")
 
 
 def temperature_weights(sizes: DataFrame, rules: MixRules) -> DataFrame:
@@ -76,33 +76,43 @@ def temperature_weights(sizes: DataFrame, rules: MixRules) -> DataFrame:
     return each.withColumn("quota", F.floor("share").cast("long")).drop("share")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rules: MixRules | None = None) -> DataFrame:
-    """The rows of docs with mix_source, mix_weight, mix_tokens, mix_start (tokens before the row in its
-    source's order) and mix_copies (how often the mix holds the row; 0: not at all)."""
-    rules = rules or MixRules()
-    key = F.coalesce(F.col(source_col), F.lit(""))
-    rows = docs.withColumn("mix_source", key).withColumn("mix_tokens", token_count(F.col(text_col)))
-    stats = stored(rows.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
+def _placed(rows: DataFrame, sizes: DataFrame, rules: MixRules) -> DataFrame:
+    """rows with mix_weight, mix_start and mix_copies. rows and sizes: (mix_source, mix_tokens, mix_turn, mix_id) of all rows; rows may carry more."""
+    stats = stored(sizes.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
     weights = temperature_weights(stats.select(F.col("mix_source").alias("source"), "tokens"), rules)
     # one row for each source; beyond the broadcast threshold Spark joins by a shuffle on its own
-    plan = stored(weights.join(stats.select(F.col("mix_source").alias("source"), "rows"), "source").withColumnRenamed("source", "mix_source"))
-    blocks = F.least(F.lit(rules.most_blocks), F.ceil(F.col("rows") / rules.block_rows)).cast("long")
-    turn = F.xxhash64(F.lit(rules.seed), F.col(id_col), F.col(text_col))
-    order = rows.join(plan.select("mix_source", "rows", F.col("weight").alias("mix_weight"), "quota", "tokens"), "mix_source").withColumn("mix_block", F.pmod(F.xxhash64(turn), blocks)).withColumn("mix_turn", turn)
-    sums = order.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("k"))
+    plan = stored(weights.join(stats.select(F.col("mix_source").alias("source"), "n"), "source").select(F.col("source").alias("mix_source"), F.col("weight").alias("mix_weight"), F.col("quota").alias("mix_quota"), F.col("tokens").alias("mix_all"), F.least(F.lit(rules.most_blocks), F.ceil(F.col("n") / rules.block_rows)).cast("long").alias("mix_blocks")))
+    block = F.pmod(F.xxhash64("mix_turn"), F.col("mix_blocks")).alias("mix_block")
+    sums = sizes.join(plan.select("mix_source", "mix_blocks"), "mix_source").groupBy("mix_source", block).agg(F.sum("mix_tokens").alias("k"))
     before = Window.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(rules.seed), "mix_source", "mix_block"), "mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sums.withColumn("mix_begin", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    inside = Window.partitionBy("mix_source", "mix_block").orderBy("mix_turn", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select("mix_source", "mix_block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("mix_begin"))
+    inside = Window.partitionBy("mix_source", "mix_block").orderBy("mix_turn", "mix_id", "mix_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    order = rows.join(plan, "mix_source").withColumn("mix_block", block)
     placed = order.withColumn("mix_inside", F.coalesce(F.sum("mix_tokens").over(inside), F.lit(0))).join(begins, ["mix_source", "mix_block"])
-    start = F.col("mix_begin") + F.col("mix_inside")
+    start = (F.col("mix_begin") + F.col("mix_inside")).cast("long")
     # whole passes, and one more if the row starts before what is left of the quota
-    passes = F.floor(F.col("quota") / F.col("tokens"))
-    left = F.col("quota") - passes * F.col("tokens")
+    passes = F.floor(F.col("mix_quota") / F.col("mix_all"))
+    left = F.col("mix_quota") - passes * F.col("mix_all")
     copies = (passes + F.when(start < left, 1).otherwise(0)).cast("int")
-    return placed.select(*docs.columns, "mix_source", "mix_weight", "mix_tokens", start.cast("long").alias("mix_start"), copies.alias("mix_copies"))
+    return placed.withColumn("mix_start", start).withColumn("mix_copies", copies)
+
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, rules: MixRules, *more: Column) -> DataFrame:
+    return docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"), token_count(F.col(text_col)).alias("mix_tokens"), F.xxhash64(F.lit(rules.seed), F.col(id_col), F.col(text_col)).alias("mix_turn"), F.col(id_col).alias("mix_id"), *more)
 
-def mixed(docs: DataFrame, rules: MixRules | None = None, **cols: str) -> DataFrame:
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rules: MixRules | None = None) -> DataFrame:
+    """For each row of docs its id, mix_source, mix_weight, mix_tokens, mix_start (tokens before the row in its
+    source's order) and mix_copies (how often the mix holds the row; 0: not at all).  The text is read once."""
+    rules = rules or MixRules()
+    rows = stored(_sized(docs, id_col, text_col, source_col, rules))
+    return _placed(rows, rows, rules).select(F.col("mix_id").alias(id_col), "mix_source", "mix_weight", "mix_tokens", "mix_start", "mix_copies")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rules: MixRules | None = None) -> DataFrame:
     """The mix itself: each row of docs as often as mix_sources says, with the columns of docs."""
-    placed = mix_sources(docs, rules=rules, **cols).where("mix_copies > 0")
-    return placed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*docs.columns)
+    rules = rules or MixRules()
+    sizes = stored(_sized(docs, id_col, text_col, source_col, rules))
+    rows = _sized(docs, id_col, text_col, source_col, rules, F.struct(*docs.columns).alias("mix_row"))
+    placed = _placed(rows, sizes, rules).where("mix_copies > 0")
+    return placed.select("mix_row", F.explode(F.sequence(F.lit(1), "mix_copies"))).select("mix_row.*")

@@ -28,8 +28,7 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "mix_source", "mix_weight", "mix_tokens", "mix_start", "mix_copies")
+    return mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op3_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,16 +175,37 @@ def test_mixing_weights_and_budgets(spark, docs, nothing):
     assert abs(sum(p) - 1) < 1e-9 and abs(-sum(x * math.log(x) for x in p) - 0.8 * math.log(3)) < 1e-6
     w = mixing.temperature_weights(sizes, mixing.MixRules(entropy=1.0, repeats=2.0)).collect()
     assert abs(max(r["weight"] * 1000 / r["tokens"] for r in w) - 2) < 1e-6
-    rows = mixing.mix_sources(docs, rules=mixing.MixRules(block_rows=5)).collect()
-    assert len(rows) == docs.count() and docs.columns == rows[0].__fields__[: len(docs.columns)]
-    by = {}
+    assert mixing.mix_sources(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+
+
+def test_mix_against_plain_python(spark, texts):
+    """Quotas, order and copies from the weights, on columns with the names of inner ones, repeated rows and ties."""
+    rows = [(i, t, f"s{i % 3}" if i % 7 else None, i, "x", 1) for i, t in enumerate(texts)]
+    rows += [rows[9]] * 3 + [(None, "null id", "s1", 0, "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tokens long, rows string, mix_copies int")
+    rules = mixing.MixRules(block_rows=5, entropy=1.0, repeats=3.0, budget=1.5)
+    got = mixing.mix_sources(docs, rules=rules).collect()
+    assert len(got) == len(rows)
+    size = Counter()
     for r in rows:
-        by.setdefault(r["mix_source"], []).append((r["mix_start"], r["mix_tokens"]))
-    for own in by.values():  # the documents of a source lie end to end
-        own.sort()
-        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and own[0][0] == 0
-    assert mixing.mixed(docs).columns == docs.columns
-    assert mixing.mix_sources(nothing).count() == 0
+        size[r[2] or ""] += max(len(words(r[1])), 1)
+    total, by, copies = sum(size.values()), {}, Counter()
+    for r in got:
+        by.setdefault(r["mix_source"], []).append(r)
+        copies[r["doc_id"]] += r["mix_copies"]
+    for source, own in by.items():
+        own.sort(key=lambda r: r["mix_start"])
+        at, quota = 0, math.floor(own[0]["mix_weight"] * total * 1.5 + 1e-9)
+        for r in own:  # end to end, and read until the quota is used up
+            assert r["mix_start"] == at
+            whole, rest = divmod(quota, size[source])
+            assert r["mix_copies"] == whole + (at < rest)
+            at += r["mix_tokens"]
+        assert at == size[source]
+    assert abs(sum(own[0]["mix_weight"] for own in by.values()) - 1) < 1e-9
+    mix = mixing.mixed(docs, rules=rules)
+    assert mix.columns == docs.columns
+    assert Counter(r["doc_id"] for r in mix.collect()) == +copies
 
 
 def test_line_alignment(docs, nothing, spark):
