@@ -10,10 +10,12 @@ block that removes the line holds such a run in both documents.  Its earlier hol
 aligned in growing portions until the line is removed or all have been tried, so lines
 that many documents share and no alignment removes cost pairs by the square.
 
-Defined results: later means the larger id; n_partners counts the alignments made; rows that share an id count as one
-document (the smallest lines array); null and empty texts have one empty line and pair
-with nothing; blank lines are no anchors, but may lie inside a block; repeated lines
-within one document stay (that is another rule's concern).
+Defined results: later means the larger id; n_partners counts the alignments made; rows
+that share an id and the text count as one document, rows that share the id only are
+documents of their own that are not compared with each other; rows without an id stay as
+they are; null and empty texts have one empty line and pair with nothing; blank lines are
+no anchors, but may lie inside a block; repeated lines within one document stay (that is
+another rule's concern).
 """
 
 from __future__ import annotations
@@ -24,18 +26,26 @@ from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.store import stored
 
 
+DOC = ["doc_id", "text_key"]
+PAIR = [*DOC, "earlier", "earlier_key"]
+
+
 @dataclass(frozen=True)
 class LineRules:
     line_chars: int = 20  # shorter lines name no pair
     block_chars: int = 40
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Aligned blocks (start in a, start in b, length) in order."""
     matched: list[tuple[int, int]] = []
@@ -123,19 +133,19 @@ def run_keys(h: list[int], n: list[int], gone: set[int], rules: LineRules) -> di
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
-    """One row for each document: doc_id, n_lines, n_partners, removed (indices of deleted lines, sorted), removed_chars."""
+    """One row for each document: doc_id, text_key, n_lines, n_partners, removed (indices of deleted lines, sorted), removed_chars."""
     rules = rules or LineRules()
     kind = docs.schema[id_col].dataType.simpleString()
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     # one hash for all blank lines
-    arrays = docs.select(F.col(id_col).alias("doc_id"), lines.alias("l")).select("doc_id", F.transform("l", lambda x: F.when(F.trim(x) == "", F.lit(0)).otherwise(F.xxhash64(x))).alias("h"), F.transform("l", F.length).alias("n"))
-    arrays = stored(arrays.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("x")).select("doc_id", "x.h", "x.n"))
-    early = arrays.select(F.col("doc_id").alias("earlier"), F.col("h").alias("a"))
+    arrays = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), lines.alias("l")).select(*DOC, F.transform("l", lambda x: F.when(F.trim(x) == "", F.lit(0)).otherwise(F.xxhash64(x))).alias("h"), F.transform("l", F.length).alias("n"))
+    arrays = stored(arrays.dropDuplicates(DOC))
+    early = arrays.select(F.col("doc_id").alias("earlier"), F.col("text_key").alias("earlier_key"), F.col("h").alias("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = []
-            for a, b, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            for a, b, n in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True):
                 if {x for x, k in zip(b, n, strict=True) if x and k >= rules.line_chars}.isdisjoint(a):
                     gone.append(None)
                     continue
@@ -144,51 +154,52 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if sum(n[j : j + size]) >= rules.block_chars:
                         out.extend(range(j, j + size))
                 gone.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "earlier", "gone"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(gone, pa.list_(pa.int32()))], names=[*PAIR, "gone"])
 
     def align(pairs: DataFrame) -> DataFrame:
-        both = pairs.select("doc_id", "earlier").join(early, "earlier").join(arrays.withColumnRenamed("h", "b"), "doc_id").select("doc_id", "earlier", "a", "b", "n")
-        return stored(both.mapInArrow(run, f"doc_id {kind}, earlier {kind}, gone array<int>"))
+        both = pairs.select(*PAIR).join(early, PAIR[2:]).join(arrays.withColumnRenamed("h", "b"), DOC).select(*PAIR, "a", "b", "n")
+        return stored(both.mapInArrow(run, f"doc_id {kind}, text_key long, earlier {kind}, earlier_key long, gone array<int>"))
 
     def union_of(aligned: DataFrame) -> DataFrame:
-        return aligned.groupBy("doc_id").agg(F.count("gone").alias("n_partners"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("removed"))
+        return aligned.groupBy(*DOC).agg(F.count("gone").alias("n_partners"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("removed"))
 
-    posts = arrays.select("doc_id", F.explode(F.arrays_zip("h", "n")).alias("x")).select("doc_id", F.col("x.h").alias("h"), F.col("x.n").alias("n")).where((F.col("n") >= rules.line_chars) & (F.col("h") != 0)).select("doc_id", "h")
-    shared = posts.groupBy("h").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest")).where("earlier < latest")
-    aligned = align(posts.join(shared.select("h", "earlier"), "h").where("doc_id > earlier").select("doc_id", "earlier").distinct())
+    posts = arrays.select(*DOC, F.explode(F.arrays_zip("h", "n")).alias("x")).select(*DOC, F.col("x.h").alias("h"), F.col("x.n").alias("n")).where((F.col("n") >= rules.line_chars) & (F.col("h") != 0)).select(*DOC, "h")
+    shared = posts.groupBy("h").agg(F.min("doc_id").alias("earlier"), F.min_by("text_key", "doc_id").alias("earlier_key"), F.max("doc_id").alias("latest")).where("earlier < latest")
+    aligned = align(posts.join(shared.select("h", *PAIR[2:]), "h").where("doc_id > earlier").select(*PAIR).distinct())
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys, left = [], [], []
-            for r, (h, n, gone) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+            for r, (h, n, gone) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
                 for key, at in run_keys(h, n, set(gone or ()), rules).items():
                     rows.append(r)
                     keys.append(key)
                     left.append(at or None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(keys, pa.int64()), pa.array(left, pa.list_(pa.int32()))], names=["doc_id", "key", "at"])
+            taken = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(keys, pa.int64()), pa.array(left, pa.list_(pa.int32()))], names=[*DOC, "key", "at"])
 
-    held = arrays.join(union_of(aligned).select("doc_id", "removed"), "doc_id", "left").select("doc_id", "h", "n", "removed").mapInArrow(post, f"doc_id {kind}, key long, at array<int>")
-    by = Window.partitionBy("key").orderBy("doc_id")
-    held = held.where("doc_id is not null").withColumns({"place": F.row_number().over(by), "next": F.lead("doc_id").over(by)})
+    held = arrays.where("doc_id is not null").join(union_of(aligned).select(*DOC, "removed"), DOC, "left").select(*DOC, "h", "n", "removed").mapInArrow(post, f"doc_id {kind}, text_key long, key long, at array<int>")
+    by = Window.partitionBy("key").orderBy(*DOC)
+    held = held.withColumns({"place": F.row_number().over(by), "next": F.lead("doc_id").over(by)})
     held = stored(held.where("place > 1 or next is not null").drop("next"))
     active, low, high = held.where("place > 1 and at is not null"), 0, 8
     while active.limit(1).count():
         salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
-        portion = held.where((F.col("place") > low) & (F.col("place") <= high)).select("key", F.col("doc_id").alias("earlier"), salts)
-        pairs = active.select("key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int").alias("salt")).join(portion, ["key", "salt"]).where("earlier < doc_id").select("doc_id", "earlier").distinct()
-        aligned = aligned.unionByName(align(pairs.join(aligned.select("doc_id", "earlier"), ["doc_id", "earlier"], "left_anti")))
+        portion = held.where((F.col("place") > low) & (F.col("place") <= high)).select("key", F.col("doc_id").alias("earlier"), F.col("text_key").alias("earlier_key"), salts)
+        pairs = active.select("key", *DOC, F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int").alias("salt")).join(portion, ["key", "salt"]).where("earlier < doc_id").select(*PAIR).distinct()
+        aligned = aligned.unionByName(align(pairs.join(aligned.select(*PAIR), PAIR, "left_anti")))
         still = F.size(F.array_except("at", F.coalesce("removed", F.array().cast("array<int>")))) > 0
-        active = stored(active.where(F.col("place") > high + 1).join(union_of(aligned).select("doc_id", "removed"), "doc_id", "left").where(still).select("doc_id", "key", "at", "place"))
+        active = stored(active.where(F.col("place") > high + 1).join(union_of(aligned).select(*DOC, "removed"), DOC, "left").where(still).select(*DOC, "key", "at", "place"))
         low, high = high, high * 8
 
-    out = arrays.join(union_of(aligned), "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    out = arrays.join(union_of(aligned), DOC, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda s, i: s + F.element_at("n", i + 1))
-    return out.select("doc_id", F.size("h").cast("long").alias("n_lines"), F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"), "removed", chars.alias("removed_chars"))
+    return out.select(*DOC, F.size("h").cast("long").alias("n_lines"), F.coalesce("n_partners", F.lit(0)).cast("long").alias("n_partners"), "removed", chars.alias("removed_chars"))
 
 
 def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
     """docs with the text of later documents shortened; other columns stay."""
-    gone = repeated_lines(docs, id_col, text_col, rules).where(F.size("removed") > 0).select(F.col("doc_id").alias("__id"), F.col("removed").alias("__gone"))
-    joined = docs.join(gone, docs[id_col] == gone["__id"], "left")
+    gone = repeated_lines(docs, id_col, text_col, rules).where(F.size("removed") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed").alias("__gone"))
+    joined = docs.join(gone, (docs[id_col] == gone["__id"]) & (text_key(docs[text_col]) == gone["__key"]), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(text_col))).select(*docs.columns)

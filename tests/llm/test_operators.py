@@ -220,6 +220,14 @@ def test_line_alignment(docs, nothing, spark):
     assert line_dedup.repeated_lines(nothing).count() == 0
 
 
+def test_line_alignment_of_versions_that_share_an_id(spark):
+    passage = "a passage that is long enough to be found again elsewhere"
+    rows = [(1, f"{passage}\nend", 7), (5, f"other words\n{passage}", 8), (5, f"{passage}\nother last line of five", 9), (None, passage, 10), (6, f"{passage}\n{passage}", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed long")
+    got = {r["removed"]: r["text"] for r in line_dedup.delete_repeated_lines(df).collect()}
+    assert got == {7: f"{passage}\nend", 8: "other words", 9: "other last line of five", 10: passage, 11: ""}  # one copy heads document 1, the other ends document 5
+
+
 def test_line_alignment_tries_every_earlier_document(spark):
     rng = random.Random(5)
     pool = [f"{c} {'shared line ' * k}"[: 12 * k] + "!" * (k % 3) for c in "abcdefgh" for k in (1, 2, 3, 4)] + ["", "", "     ", "x", "yy"]
