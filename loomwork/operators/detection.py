@@ -1,13 +1,16 @@
-"""Detection evaluation: greedy matching, threshold sweeps, confusion and average precision."""
+"""Detection evaluation: greedy matching, threshold sweeps and confusion."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.scalars import f1_of, ratio
+from loomwork.operators.relational import running_sum
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,6 +78,17 @@ def micro_metrics(matches: DataFrame) -> DataFrame:
     return sums.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"))
 
 
+def at_thresholds(truth: DataFrame, predicted: DataFrame, thresholds: list[float], iou: float = 0.5) -> DataFrame:
+    """threshold, tp, fp, fn, precision, recall, f1, mean_iou: matching at each least score, ties to the first truth; null where undefined."""
+    parts = []
+    for t in thresholds:
+        m = micro_metrics(match_boxes(truth, predicted.where(F.col("score") >= t), iou, tie_highest=False))
+        none = lambda c, n: F.when(n > 0, F.col(c)).alias(c)
+        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        parts.append(m.select(F.lit(t).alias("threshold"), "tp", "fp", "fn", none("precision", tp + fp), none("recall", tp + fn), none("f1", 2 * tp + fp + fn), none("mean_iou", tp)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def confidence_curve(scored: DataFrame, positives: int, steps: int = 100) -> DataFrame:
     """(step, tp, fp, fn, precision, recall, f1) at thresholds 0, 1/steps, ... 1. scored: (score, correct).
 
@@ -112,26 +126,9 @@ def class_report(matrix: DataFrame) -> DataFrame:
     return out.select("label", "tp", "fp", "fn", "support", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
-def average_precision(scored: DataFrame, positives: DataFrame, points: int = 101) -> DataFrame:
-    """(label, ap) with interpolation at equally spaced recalls. scored: (label, score, pos, correct); positives: (label, n)."""
-    falling = Window.partitionBy("label").orderBy(F.col("score").desc(), "pos")
-    upto = falling.rowsBetween(Window.unboundedPreceding, 0)
-    curve = scored.join(positives, "label").select("label", "n", F.sum(F.col("correct").cast("int")).over(upto).alias("tp"), F.row_number().over(falling).alias("rank")).withColumn("precision", F.col("tp") / F.col("rank"))
-    best = F.max("precision").over(Window.partitionBy("label").orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    curve = curve.withColumn("best", best)
-    # recall point k / (points - 1) is reached at the first rank with tp * (points - 1) >= k * n
-    reached = curve.groupBy("label", "n", "tp").agg(F.max("best").alias("best"))
-    before = F.lag("tp", 1, 0).over(Window.partitionBy("label").orderBy("tp"))
-    steps = reached.withColumn("last", before)
-    upper, lower = F.floor(F.col("tp") * (points - 1) / F.col("n")), F.floor(F.col("last") * (points - 1) / F.col("n"))
-    covered = F.when(F.col("tp") == 0, 0).otherwise(upper - F.when(F.col("last") == 0, F.lit(-1)).otherwise(lower))
-    sums = steps.groupBy("label").agg(F.sum(F.col("best") * covered).alias("s"))
-    return positives.where("n > 0").join(sums, "label", "left").select("label", (F.coalesce("s", F.lit(0.0)) / points).alias("ap"))
-
-
 def presence_auc(images: DataFrame) -> DataFrame:
     """AUC by rank sums of (score, present); null where only one class occurs. Ties count a half."""
-    w = Window.partitionBy(F.lit(0)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    by_score = images.groupBy("score").agg(F.count_if("present").alias("p"), F.count_if(~F.col("present")).alias("q")).withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    sums = by_score.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    by_score = images.groupBy("score").agg(F.count_if("present").alias("p"), F.count_if(~F.col("present")).alias("q"))
+    placed = running_sum(by_score, [], ["score"], F.col("q"), "below")
+    sums = placed.agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return sums.select(ratio(F.col("u"), F.col("p") * F.col("q"), None).alias("auc"))

@@ -52,32 +52,44 @@ def margins(vectors: DataFrame, id_col: str = "vec_id", label: str = "label", ve
     return vectors.where(F.col(label).isNotNull()).select(id_col, label, vector).mapInArrow(run, f"{id_col} {kinds[id_col]}, {label} {kinds[label]}, own double, rival double, rival_label {kinds[label]}, margin double")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", block: int = 2000) -> DataFrame:
-    """(query, neighbour, rank, cosine): for a stated query set, the k most similar other rows, by blocks of queries.
+def _packed(vectors: DataFrame, id_col: str, vector: str, group: str | None, block: int) -> DataFrame:
+    """Runs of rows as (ids, groups, matrix of unit vectors, width), without a shuffle."""
 
-    Each block of queries meets each partition of rows once; a partition returns its k best per query.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, block):
+                part = batch.slice(begin, block)
+                x = np.asarray(part.column(2).flatten()).astype(np.float32).reshape(part.num_rows, -1)
+                x = x / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-8)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), pa.array([x.astype(float).tobytes()], pa.binary()), pa.array([x.shape[1]], pa.int32())], names=["ids", "groups", "matrix", "width"])
+
+    kind = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    return vectors.where(F.size(vector) > 0).select(F.col(id_col).cast("long"), kind.alias("g"), vector).mapInArrow(run, "ids array<long>, groups array<string>, matrix binary, width int")
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", block: int = 2000, group: str | None = None) -> DataFrame:
+    """(query, neighbour, rank, cosine): for a stated query set, the k most similar other rows; rows of the query's own group are left out.
+
+    Runs of queries meet runs of rows as matrices on the executors; each meeting returns its k
+    best for a query.  Vectors are of one length; null and empty ones are no neighbours.
     """
-    blocks = queries.select(id_col, vector).withColumn("b", F.pmod(F.xxhash64(id_col), F.lit(max(1, queries.count() // block))))
-    packed = blocks.groupBy("b").agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector).alias("v"))).alias("q"))
-    parts = []
-    for r in packed.toLocalIterator():
-        ids = np.array([x["id"] for x in r["q"]])
-        q = np.array([x["v"] for x in r["q"]], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-8)
-
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).to_pylist(), float).reshape(len(own), -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
-                s = q @ x.T
-                s[ids[:, None] == own[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    side = lambda df, x: _packed(df, id_col, vector, group, block).select(*[F.col(c).alias(f"{x}_{c}") for c in ("ids", "groups", "matrix", "width")])
+    met = side(queries, "q").crossJoin(side(vectors, "r"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, r = (np.frombuffer(row[f"{x}_matrix"]).reshape(-1, row[f"{x}_width"]) for x in "qr")
+                ids, own = np.array(row["q_ids"]), np.array(row["r_ids"])
+                s = q @ r.T
+                barred = ids[:, None] == own[None, :]
+                if group:
+                    a, b = (np.array(row[f"{x}_groups"], object) for x in "qr")
+                    barred |= (a[:, None] == b[None, :]) & (a != None)[:, None]  # noqa: E711
+                s[barred] = -np.inf
+                top = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])), pa.array(own[top.ravel()]), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query", "neighbour", "cosine"])
 
-        parts.append(vectors.select(id_col, vector).mapInArrow(run, "query long, neighbour long, cosine double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    best = met.mapInArrow(run, "query long, neighbour long, cosine double").where(F.col("cosine") > float("-inf"))
     w = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour")
-    return out.where(F.col("cosine") > float("-inf")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", "rank", "cosine")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.scalars import order_key
+from loomwork.store import stored
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -31,38 +32,52 @@ def islands(df: DataFrame, keys: list[str], value: str, gap: int) -> DataFrame:
     return df.withColumn("jump", jump).withColumn("island", F.sum("jump").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("jump")
 
 
-def stratified_sample(df: DataFrame, strata: list[str], id_col: str, rate: float, minimum: int, seed: str) -> DataFrame:
-    """min(n, max(ceil(n * rate), minimum)) rows of each stratum in hash order."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    want = F.greatest(F.ceil(n * rate), F.lit(minimum))
-    key = order_key(seed, F.col(id_col))
-    return ranked(df.withColumn("want", want), strata, [key, F.col(id_col)]).where("rank <= want").drop("want")
+def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], value: Column, name: str) -> DataFrame:
+    """df with the sum of `value` over the rows before it within the keys.
+
+    Rows are dealt in ranges of (keys, order); sums are taken within a range and over the
+    ranges, so a large key is shared by many tasks.  The ranges are written to the shared
+    folder, as they are read twice and must not be drawn anew.
+    """
+    dealt = stored(df.repartitionByRange(*keys, *order).withColumns({"__range": F.spark_partition_id(), "__value": value}))
+    totals = dealt.groupBy(*keys, "__range").agg(F.sum("__value").alias("__k"))
+    over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r"), F.coalesce(F.sum("__k").over(over), F.lit(0)).alias("__begin"))
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    on = F.col("__range") == F.col("__r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = dealt.withColumn("__within", F.coalesce(F.sum("__value").over(inside), F.lit(0))).join(begins, on)
+    return out.select(*df.columns, (F.col("__begin") + F.col("__within")).alias(name))
 
 
-def systematic_sample(df: DataFrame, strata: list[str], order: list[Column], k: int) -> DataFrame:
-    """Every (n // k)-th row of each stratum, at most k."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    step = F.greatest(F.lit(1), F.floor(n / k))
-    return ranked(df.withColumn("step", step), strata, order).where((F.col("rank") - 1) % F.col("step") == 0).where((F.col("rank") - 1) / F.col("step") < k).drop("step")
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
+    """df with a dense number from 1 within the keys; the order must be total."""
+    return running_sum(df, keys, order, F.lit(1), name).withColumn(name, F.col(name) + 1)
 
 
-def fill_splits(groups: DataFrame, id_col: str, size: str, valid: float, test: float, large: int, seed: str) -> DataFrame:
-    """groups with split: groups of `large` rows or more train; the others, in hash order, fill valid, then test.
+def _sizes(df: DataFrame, strata: list[str]) -> tuple[DataFrame, Column]:
+    """(strata, __n), and the condition that joins them; one row a stratum."""
+    n = df.groupBy(*[F.col(c).alias(f"__{c}") for c in strata]).agg(F.count(F.lit(1)).alias("__n"))
+    on = F.lit(True)
+    for c in strata:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return n, on
 
-    The running sum is taken within 4096 runs of the hash order and over the runs, so no
-    task sorts all groups.
-    """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    keyed = groups.withColumn("key", order_key(seed, F.col(id_col))).withColumn("run", F.substring("key", 1, 3))
-    small = keyed.where(F.col(size) < large)
-    runs = small.groupBy("run").agg(F.sum(size).alias("k"))
-    over_runs = Window.partitionBy(F.lit(0)).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    begins = runs.select("run", F.coalesce(F.sum("k").over(over_runs), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("run").orderBy("key", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = small.withColumn("within", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(F.broadcast(begins), "run")  # 4096 rows at most
-    before, v, t = F.col("begin") + F.col("within"), int(total * valid), int(total * test)
-    split = F.when(before < v, "valid").when(before < v + t, "test").otherwise("train")
-    return placed.withColumn("split", split).select(*groups.columns, "split").unionByName(groups.where(F.col(size) >= large).withColumn("split", F.lit("train")))
+
+def stratified_sample(df: DataFrame, strata: list[str], id_col: str, rate: float, minimum: int, seed: str) -> DataFrame:
+    """min(n, max(ceil(n * rate), minimum)) rows of each stratum in hash order."""
+    n, on = _sizes(df, strata)
+    placed = numbered(df.withColumn("__key", order_key(seed, F.col(id_col))), strata, ["__key", id_col])
+    return placed.join(n, on).where(F.col("rank") <= F.greatest(F.ceil(F.col("__n") * rate), F.lit(minimum))).select(*df.columns, "rank")
+
+
+def systematic_sample(df: DataFrame, strata: list[str], order: list[Column | str], k: int) -> DataFrame:
+    """Every (n // k)-th row of each stratum, at most k."""
+    n, on = _sizes(df, strata)
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / k))
+    at = F.col("rank") - 1
+    return numbered(df, strata, order).join(n, on).where((at % step == 0) & (at / step < k)).select(*df.columns, "rank")
 
 
 def upsert(ledger: DataFrame, news: DataFrame, key: str) -> DataFrame:

@@ -17,6 +17,7 @@ from loomwork.operators import detection as det
 from loomwork.operators import embeddings as emb
 from loomwork.operators import gates
 from loomwork.operators import relational as rel
+from loomwork.operators import splits
 from loomwork.operators.components import connected_components
 
 FLAGSHIP = "a6_bucket_audit"
@@ -112,11 +113,11 @@ def a12_a13_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return det.confidence_curve(b, b.count())
 
 
-_PAIRS = f"(SELECT label AS truth_label, CASE WHEN pos = 3 THEN NULL ELSE CAST((label + pos - 1) % 11 + 1 AS BIGINT) END AS pred_label FROM {BOX} WHERE pos <= 4)"
+_PAIRS = f"(SELECT label AS truth_label, CASE WHEN pos = 3 THEN NULL ELSE CAST((label + pos - 1) % 11 + 1 AS BIGINT) END AS pred_label FROM {BOX})"
 
 
-def _pairs(spark: SparkSession, sf: str, rows: str = "pos <= 4") -> DataFrame:
-    return _box(spark, sf).where(rows).selectExpr("label AS truth_label", "CASE WHEN pos = 3 THEN NULL ELSE (label + pos - 1) % 11 + 1 END AS pred_label")
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _box(spark, sf).selectExpr("label AS truth_label", "CASE WHEN pos = 3 THEN NULL ELSE (label + pos - 1) % 11 + 1 END AS pred_label")
 
 
 _MATRIX = f"""WITH g AS (SELECT a.v AS truth, b.v AS pred FROM (SELECT unnest(range(0, 12)) AS v) a, (SELECT unnest(range(0, 12)) AS v) b),
@@ -130,25 +131,12 @@ def a15_a16_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(_MATRIX + """, r AS (SELECT truth AS label, sum(CASE WHEN pred = truth THEN n ELSE 0 END) AS tp, sum(n) AS support FROM m WHERE truth > 0 GROUP BY 1),
-p AS (SELECT pred AS label, sum(n) AS k FROM m WHERE pred > 0 GROUP BY 1)
-SELECT CAST(label AS BIGINT) AS label, CAST(tp AS BIGINT) AS tp, CAST(k - tp AS BIGINT) AS fp, CAST(support - tp AS BIGINT) AS fn, CAST(support AS BIGINT) AS support FROM r JOIN p USING (label)""")
+p AS (SELECT pred AS label, sum(n) AS k FROM m WHERE pred > 0 GROUP BY 1),
+x AS (SELECT label, tp, k - tp AS fp, support - tp AS fn, support, CASE WHEN k > 0 THEN tp / CAST(k AS DOUBLE) ELSE 0 END AS p, CASE WHEN support > 0 THEN tp / CAST(support AS DOUBLE) ELSE 0 END AS r FROM r JOIN p USING (label))
+SELECT CAST(label AS BIGINT) AS label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(support AS BIGINT) AS support, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM x""")
 def a17_class_report(spark: SparkSession, sf: str) -> DataFrame:
-    return det.class_report(det.confusion(_pairs(spark, sf), list(range(1, 12)))).select("label", "tp", "fp", "fn", "support")
-
-
-#: The same over every line item.
-_ALL_PAIRS = _PAIRS.replace(" WHERE pos <= 4", "")
-_ALL_MATRIX = _MATRIX.replace(_PAIRS, _ALL_PAIRS)
-
-
-@query(_ALL_MATRIX + " SELECT CAST(truth AS BIGINT) AS truth, CAST(pred AS BIGINT) AS pred, CAST(n AS BIGINT) AS n, CAST(share AS DOUBLE) AS share FROM m")
-def a15_a16_confusion_all(spark: SparkSession, sf: str) -> DataFrame:
-    return det.confusion(_pairs(spark, sf, "true"), list(range(1, 12)))
-
-
-@query(_SQL["a17_class_report"].replace(_PAIRS, _ALL_PAIRS))
-def a17_class_report_all(spark: SparkSession, sf: str) -> DataFrame:
-    return det.class_report(det.confusion(_pairs(spark, sf, "true"), list(range(1, 12)))).select("label", "tp", "fp", "fn", "support")
+    report = det.class_report(det.confusion(_pairs(spark, sf), list(range(1, 12))))
+    return report.select("label", "tp", "fp", "fn", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query()
@@ -158,13 +146,6 @@ def a10_a9_greedy_matching(spark: SparkSession, sf: str) -> DataFrame:
     return det.micro_metrics(det.match_boxes(b.drop("score"), p))
 
 
-@query()
-def a19_average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    b = _box(spark, sf)
-    scored = b.select("label", "score", F.col("ann_id").alias("pos"), (F.col("pos") % 3 != 0).alias("correct"))
-    return det.average_precision(scored, b.where("pos % 3 <> 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
-
-
 @query(f"""WITH i AS (SELECT image_id, max(score) AS score, bool_or(label = 3) AS present FROM {BOX} GROUP BY 1),
 s AS (SELECT score, count(*) FILTER (present) AS p, count(*) FILTER (NOT present) AS q FROM i GROUP BY 1),
 c AS (SELECT *, coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
@@ -267,7 +248,7 @@ def p1_p2_p3_manifest_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT ann_id, {_BUCKET} AS bucket, CASE WHEN pos >= 4 THEN '4+' ELSE CAST(pos AS VARCHAR) END AS bin,
 concat_ws('|', CASE WHEN x = 0 OR y = 0 THEN 'edge' END, CASE WHEN w * h < 400 THEN 'tiny' END) AS flags FROM {BOX}""")
-def p4_p5_p6_p8_flags(spark: SparkSession, sf: str) -> DataFrame:
+def p4_p6_flags(spark: SparkSession, sf: str) -> DataFrame:
     f = sc.flags({"tiny": F.col("w") * F.col("h") < 400, "edge": (F.col("x") == 0) | (F.col("y") == 0)})
     return _box(spark, sf).select("ann_id", sc.score_bucket(F.col("score")).alias("bucket"), sc.count_bin(F.col("pos")).alias("bin"), F.array_join(f, "|").alias("flags"))
 
@@ -281,7 +262,7 @@ def p9_p10_v6_yolo(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT ann_id, CASE pos WHEN 2 THEN 800 - x WHEN 3 THEN 800 - x WHEN 5 THEN y WHEN 6 THEN 700 - y WHEN 7 THEN 700 - y ELSE x END AS px,
 CASE pos WHEN 3 THEN 700 - y WHEN 4 THEN 700 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 800 - x ELSE y END AS py, least(w, 300 - x) AS cw FROM {BOX}""")
-def p12_p13_p15_orient(spark: SparkSession, sf: str) -> DataFrame:
+def p12_p15_orient(spark: SparkSession, sf: str) -> DataFrame:
     px, py = bx.oriented_point(F.col("x"), F.col("y"), F.lit(800.0), F.lit(700.0), F.col("pos"))
     return _box(spark, sf).select("ann_id", px.alias("px"), py.alias("py"), bx.clamp(tuple(F.col(c) for c in "xywh"), F.lit(300.0), F.lit(500.0))[2].alias("cw"))
 
@@ -326,13 +307,12 @@ UNION ALL SELECT 'childless', CAST(c_custkey AS VARCHAR), 'missing' FROM custome
 UNION ALL SELECT 'unique', CAST(o_custkey AS VARCHAR), CAST(count(*) AS VARCHAR) FROM orders GROUP BY o_custkey HAVING count(*) > 1
 UNION ALL SELECT 'price', CAST(o_orderkey AS VARCHAR), 'violated' FROM orders WHERE o_totalprice >= 300000
 UNION ALL SELECT 'splits', CAST(o_orderpriority AS VARCHAR), CAST(count(DISTINCT o_orderstatus) AS VARCHAR) FROM orders GROUP BY o_orderpriority HAVING count(DISTINCT o_orderstatus) <> 2""")
-def v1_v20_integrity_report(spark: SparkSession, sf: str) -> DataFrame:
+def v1_v10_j6_j7_integrity_report(spark: SparkSession, sf: str) -> DataFrame:
     o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer")
     orphan = o.join(c.where("c_custkey % 7 <> 0").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.lit("orphan").alias("gate"), F.col("o_orderkey").cast("string").alias("key"), F.lit("missing").alias("detail"))
     return gates.report([orphan, gates.childless(c, "c_custkey", o, "o_custkey"), gates.unique_key(o, "o_custkey", "unique"), gates.holds(o, "o_orderkey", F.col("o_totalprice") < 300000, "price"), gates.every_group_has(o, "o_orderpriority", "o_orderstatus", 2, "splits")])
 
 
-
 @query()
 def j11_j12_hamming_pairs(spark: SparkSession, sf: str) -> DataFrame:
     c = _t(spark, sf, "customer").select("c_custkey", (_md5_long(F.col("c_custkey") % 50).bitwiseXOR(F.expr("shiftleft(1L, CAST(c_custkey % 60 AS INT))"))).alias("h"))
@@ -395,18 +375,14 @@ def d1_d2_d3_dedup_audit(spark: SparkSession, sf: str) -> DataFrame:
     return removed.select("l_orderkey", "l_linenumber", "winner")
 
 
-_EDGES = "(SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer WHERE c_custkey % 5 = 0)"
-_COMP = f"WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}), r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a), k AS (SELECT x AS node, min(y) AS component FROM r GROUP BY 1)"
-
+_EDGES = "(SELECT c_custkey AS a, c_custkey + 1 + c_nationkey AS b FROM customer)"
+#: Smallest labels travel along the edges until none changes; the keyed table holds one row a node.
+_COMP = f"""WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}),
+k(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(c.component) FROM k c JOIN e ON e.a = c.node JOIN recurring.k r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b)"""
 
-def _components(spark: SparkSession, sf: str, rows: str = "c_custkey % 5 = 0") -> DataFrame:
-    edges = _t(spark, sf, "customer").where(rows).selectExpr("c_custkey AS src", "c_custkey + 1 + c_nationkey AS dst")
-    return connected_components(edges)
 
-
-def _component_ids(nodes: DataFrame) -> DataFrame:
-    members = F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), "")
-    return nodes.groupBy("component").agg(F.substring(F.sha2(members, 256), 1, 16).alias("component_id"), F.count(F.lit(1)).alias("n")).drop("component")
+def _components(spark: SparkSession, sf: str) -> DataFrame:
+    return connected_components(_t(spark, sf, "customer").selectExpr("c_custkey AS src", "c_custkey + 1 + c_nationkey AS dst"))
 
 
 @query(f"{_COMP} SELECT node, component FROM k")
@@ -416,20 +392,9 @@ def g1_g2_g3_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_COMP} SELECT substr(sha256(string_agg(CAST(node AS VARCHAR), '' ORDER BY node)), 1, 16) AS component_id, count(*) AS n FROM k GROUP BY component")
 def a29_component_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return _component_ids(_components(spark, sf))
-
-
-# over every customer one component holds nearly all nodes, and the closure of the SQL grows with its square: tests use union-find
-
-
-@query()
-def g1_g2_g3_components_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _components(spark, sf, "true")
-
-
-@query()
-def a29_component_ids_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _component_ids(_components(spark, sf, "true"))
+    """The digest of a component's sorted members is one string by its definition."""
+    members = F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), "")
+    return _components(spark, sf).groupBy("component").agg(F.substring(F.sha2(members, 256), 1, 16).alias("component_id"), F.count(F.lit(1)).alias("n")).drop("component")
 
 
 @query("SELECT user_id, island, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM (SELECT *, CAST(sum(j) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS island FROM (SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) <= 50 THEN 0 ELSE 1 END AS j FROM events)) GROUP BY 1, 2")
@@ -437,13 +402,14 @@ def g7_w1_bursts(spark: SparkSession, sf: str) -> DataFrame:
     return rel.islands(_t(spark, sf, "events").select("user_id", "event_id"), ["user_id"], "event_id", 50).groupBy("user_id", "island").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH g AS (SELECT o_custkey AS gid, count(*) AS size FROM orders GROUP BY 1), t AS (SELECT sum(size) AS total FROM g),
-s AS (SELECT gid, size, coalesce(sum(size) OVER (ORDER BY sha256('split:' || CAST(gid AS VARCHAR)), gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g WHERE size < 20)
-SELECT gid, size, CASE WHEN before < floor(total * 0.15) THEN 'valid' WHEN before < floor(total * 0.15) + floor(total * 0.15) THEN 'test' ELSE 'train' END AS split FROM s, t
+@query("""WITH g AS (SELECT o_custkey AS gid, count(*) AS size FROM orders GROUP BY 1), t AS (SELECT floor(sum(size) * 0.15) AS v FROM g),
+s AS (SELECT gid, size, coalesce(sum(size) OVER (ORDER BY sha256('split:' || CAST(gid AS VARCHAR)), gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g WHERE size < 20),
+e AS (SELECT coalesce(max(before + size), 0) AS taken FROM s, t WHERE before < v)
+SELECT gid, size, CASE WHEN before < v THEN 'valid' WHEN before - taken < v THEN 'test' ELSE 'train' END AS split FROM s, t, e
 UNION ALL SELECT gid, size, 'train' FROM g WHERE size >= 20""")
 def x1_w4_group_splits(spark: SparkSession, sf: str) -> DataFrame:
     g = _t(spark, sf, "orders").groupBy(F.col("o_custkey").alias("gid")).agg(F.count(F.lit(1)).alias("size"))
-    return rel.fill_splits(g, "gid", "size", 0.15, 0.15, 20, "split")
+    return splits.fill_splits(g, "gid", "size", 0.15, 0.15, 20, "split")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, count(*) OVER (PARTITION BY l_returnflag) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY sha256('s:' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)), l_orderkey * 10 + l_linenumber) AS k FROM lineitem)
@@ -465,9 +431,9 @@ def q6_o5_per_class_subset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT ann_id, CAST(row_number() OVER (PARTITION BY split ORDER BY image_id, ann_id, x, y, w) AS INTEGER) AS dense_id, 'B' || CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ann_id, x, y, w) AS VARCHAR) AS name FROM {BOX}")
 def w2_w7_numbering(spark: SparkSession, sf: str) -> DataFrame:
-    dense = F.row_number().over(Window.partitionBy("split").orderBy("image_id", "ann_id", "x", "y", "w"))
     name = F.concat(F.lit("B"), F.row_number().over(Window.partitionBy("image_id").orderBy(F.col("score").desc(), "ann_id", "x", "y", "w")).cast("string"))
-    return _box(spark, sf).select("ann_id", dense.alias("dense_id"), name.alias("name"))
+    named = _box(spark, sf).withColumn("name", name)
+    return rel.numbered(named, ["split"], ["image_id", "ann_id", "x", "y", "w"], "dense_id").select("ann_id", F.col("dense_id").cast("int").alias("dense_id"), "name")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'new' ELSE c_mktsegment END AS state FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 1")
@@ -484,8 +450,11 @@ def u3_intersect(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from loomwork import more_queries  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
