@@ -224,7 +224,7 @@ def requests(rows: DataFrame, root: Root, bits: int, rules: SuffixTreeRules) ->
             for level in range(3):
                 at, keys, _ = keys_of(tokens, level, root.hot)
                 order, new, _ = _distinct(keys)
-                counts = np.add.reduceat(tokens.train[at][order].astype(np.uint32), new, dtype=np.uint32) if len(new) else np.zeros(0, np.uint32)
+                counts = np.add.reduceat(tokens.train[at][order].astype(np.uint64), new, dtype=np.uint64) if len(new) else np.zeros(0, np.uint64)
                 own = keys[order][new]
                 del at, keys, order, new
                 cut = np.concatenate([[0], np.searchsorted(own, edges), [len(own)]])
@@ -267,7 +267,7 @@ def _tested(keys: np.ndarray, counts: np.ndarray, level: int, root: Root, rules:
     state = ~hot & (n > 0) & (gain - n * np.log(np.maximum(n - 1 + rules.beta, 1e-9)) > rules.least_gain)
     size = np.diff(np.append(first, len(keys)))
     known = np.repeat(state | hot, size)
-    return np.where(known, counts, 0).astype(np.uint32), np.repeat(np.where(state, n, 0), size).astype(np.uint32), partial
+    return np.where(known, counts, 0).astype(np.uint64), np.repeat(np.where(state, n, 0), size).astype(np.uint64), partial
 
 
 def answers(asked: DataFrame, root: Root, rules: SuffixTreeRules) -> DataFrame:
@@ -280,10 +280,10 @@ def answers(asked: DataFrame, root: Root, rules: SuffixTreeRules) -> DataFrame:
         for level in range(3):
             n = group.column(f"n{level}").to_numpy()
             keys = [np.cumsum(unpack(group.column(f"k{level}")[i].as_py(), n[i], np.uint64), dtype=np.uint64) for i in range(rows)]
-            counts = np.concatenate([unpack(group.column(f"c{level}")[i].as_py(), n[i], np.uint32) for i in range(rows)])
+            counts = np.concatenate([unpack(group.column(f"c{level}")[i].as_py(), n[i], np.uint64) for i in range(rows)])
             keys = np.concatenate(keys)
             order, new, rank = _distinct(keys)
-            sums = np.add.reduceat(counts[order], new, dtype=np.uint32) if len(new) else np.zeros(0, np.uint32)
+            sums = np.add.reduceat(counts[order], new, dtype=np.uint64) if len(new) else np.zeros(0, np.uint64)
             cut = np.concatenate([[0], np.cumsum(n)])
             back = np.empty(len(keys), np.int64)
             back[order] = rank
@@ -295,7 +295,7 @@ def answers(asked: DataFrame, root: Root, rules: SuffixTreeRules) -> DataFrame:
                 partial += [(level, *x) for x in more]
                 each = {f"a{level}": c, f"s{level}": s}
             for name, values in each.items():
-                own = values[back] if len(values) else np.zeros(0, np.uint32)
+                own = values[back] if len(values) else np.zeros(0, np.uint64)
                 out[name] = [pack(own[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         hot = [[{"level": p[0], "context": p[1], "n": p[2], "gain": p[3]} for p in partial]] + [[]] * (rows - 1)
         kind = pa.list_(pa.struct([("level", pa.int32()), ("context", pa.int64()), ("n", pa.int64()), ("gain", pa.float64())]))
@@ -345,7 +345,7 @@ def suffix_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         right = right.sort_by("bucket")
 
         def values(name: str, level: int) -> np.ndarray:
-            return np.concatenate([unpack(right.column(name)[i].as_py(), right.column(f"n{level}")[i].as_py(), np.uint32) for i in range(right.num_rows)])
+            return np.concatenate([unpack(right.column(name)[i].as_py(), right.column(f"n{level}")[i].as_py(), np.uint64) for i in range(right.num_rows)])
 
         p = known = None
         in_state = np.zeros(len(tokens.hash), bool)
