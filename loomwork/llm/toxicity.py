@@ -1,12 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer maps words to classes: insults, threats, targets, negations and
-reports of speech.  Its arcs are a fixed seed lexicon and words and word beginnings
-learned from labelled rows by log odds.  A clause transducer, composed with it, reads
-the classes of one clause at a time: insults and threats add weight, a target in the
-clause raises it, a negation shortly before lowers it, a report before it lowers it.
-A text's clause weights (largest, sum, number) go through a logistic curve fitted on
-the same labelled rows.
+Five transducers over word classes are composed into one machine.  The lexical one maps
+words to classes with weights: a fixed seed lexicon, and insults (words and word
+beginnings) learned from labelled rows by log odds; a word of no class is OTHER.  The
+negation transducer rewrites an insult or a threat within `negation_reach` words after a
+negation to MILD, the reporting one damps what follows a verb of speech, the threat one
+turns a threat without a target before it to MILD, and the target one adds weight to a
+clause that holds both a target and an offence.  Arcs have factors, which multiply when
+machines are composed, and states have final weights, which add.  The composed machine
+reads a clause's classes; the clause's weight is the sum of lexical weight times factor
+over its arcs and the final weight of the state reached, if an offence was read.  A text's
+clause weights (largest, sum, number) go through a logistic curve fitted on the same
+labelled rows.
 
 Labels come from at most `label_rows` rows (smallest id hashes); words of all texts are
 scored whole.  Fitting sends a bounded lexicon and the features of at most `label_rows`
@@ -15,11 +20,12 @@ texts to the driver.
 Defined results: null and empty texts match nothing and get the curve's value for no
 match; without labels of both kinds the seed lexicon and a fixed curve are used; rows
 that repeat get equal scores; a label that is null, or differs between rows of one id,
-is the larger one.
+is the larger one; a row without an id is held out of learning only by having no label.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +38,8 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.textarrays import _prefix, chunks, hashes_of, segment_hash, text_of, words_of
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MILD = range(7)
+SYMBOLS = 7
 SEED = {
     INSULT: "idiot moron loser scum trash clown stupid pathetic worthless disgusting dumb fool vermin idioten dummkopf abschaum imbécile crétin ordure idiota imbécil basura",
     THREAT: "kill hurt destroy crush beat töten zerstören tuer détruire matar destruir",
@@ -40,7 +47,9 @@ SEED = {
     NEGATION: "not never no nicht kein nie pas jamais nunca",
     REPORT: "said says quoted reported called sagte sagt dit déclaré dijo dice",
 }
-SEED_WEIGHT = {INSULT: 2.0, THREAT: 1.5, TARGET: 0.5, NEGATION: -1.0, REPORT: -0.5}
+SEED_WEIGHT = {INSULT: 2.0, THREAT: 1.5, TARGET: 0.0, NEGATION: 0.0, REPORT: 0.0}
+#: What a damped offence still weighs, and what a target adds.
+MILD_FACTOR, REPORTED_FACTOR, AIMED = 0.4, 0.7, 0.5
 _LETTERS = np.ones(256, bool)
 _LETTERS[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(128, 256)]] = False
 _STOPS = np.zeros(256, bool)
@@ -89,25 +98,82 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+class Machine(NamedTuple):
+    """A letter transducer: step[state][symbol] is (symbol written, next state, factor); state 0 begins."""
+
+    step: list[list[tuple[int, int, float]]]
+    final: list[float]
+
+
+def machine(states: int, arcs: dict[tuple[int, int], tuple[int, int, float]], final: dict[int, float] | None = None, moves: object = None) -> Machine:
+    """Symbols without an arc are copied with factor 1; moves(state) is the state they lead to (default: the same)."""
+    step = [[arcs.get((q, a), (a, moves(q) if moves else q, 1.0)) for a in range(SYMBOLS)] for q in range(states)]
+    return Machine(step, [(final or {}).get(q, 0.0) for q in range(states)])
+
+
+def compose(first: Machine, second: Machine) -> Machine:
+    """The machine that reads what `first` reads and writes what `second` writes on first's output."""
+    number, todo, step, final = {(0, 0): 0}, [(0, 0)], [], []
+    for p, q in todo:  # grows while new pairs of states are met
+        row = []
+        for a in range(SYMBOLS):
+            b, p2, f = first.step[p][a]
+            c, q2, g = second.step[q][b]
+            if (p2, q2) not in number:
+                number[p2, q2] = len(number)
+                todo.append((p2, q2))
+            row.append((c, number[p2, q2], f * g))
+        step.append(row)
+        final.append(first.final[p] + second.final[q])
+    return Machine(step, final)
+
+
+def negation_machine(reach: int) -> Machine:
+    """State k: a negation lies within reach for k words more."""
+    arcs = {(q, NEGATION): (NEGATION, reach, 1.0) for q in range(reach + 1)}
+    arcs |= {(q, a): (MILD, q - 1, 1.0) for q in range(1, reach + 1) for a in (INSULT, THREAT)}
+    return machine(reach + 1, arcs, moves=lambda q: max(q - 1, 0))
+
+
+def threat_machine() -> Machine:
+    """State 1: a target was read. A threat against nobody is mild."""
+    return machine(2, {(0, TARGET): (TARGET, 1, 1.0), (0, THREAT): (MILD, 0, 1.0)})
+
+
+def report_machine() -> Machine:
+    """State 1: a verb of speech was read."""
+    return machine(2, {(0, REPORT): (REPORT, 1, 1.0), **{(1, a): (a, 1, REPORTED_FACTOR) for a in (INSULT, THREAT, MILD)}})
+
+
+def target_machine() -> Machine:
+    """States: bit 0 a target, bit 1 an offence was read. Writes nothing new; mild offences count less."""
+    arcs = {(q, TARGET): (TARGET, q | 1, 1.0) for q in range(4)}
+    arcs |= {(q, a): (a, q | 2, 1.0) for q in range(4) for a in (INSULT, THREAT)}
+    arcs |= {(q, MILD): (MILD, q, MILD_FACTOR) for q in range(4)}
+    return machine(4, arcs, {3: AIMED})
+
+
+@functools.cache
+def grammar(reach: int) -> Machine:
+    out = negation_machine(reach)
+    for part in (threat_machine(), report_machine(), target_machine()):
+        out = compose(out, part)
+    return out
+
+
 def clause_weights(kinds: list[int], weights: list[float], at: list[int], reach: int) -> float:
-    """The clause transducer: the weight of one clause from its classes, arc weights and word positions."""
-    total, denied, reported, aimed, hit = 0.0, -1 - reach, False, False, False
+    """The weight that the composed machine gives a clause of these classes, lexical weights and word positions."""
+    step, final = grammar(reach)
+    state, total, offence, last = 0, 0.0, False, at[0] - 1
     for kind, weight, i in zip(kinds, weights, at, strict=True):
-        if kind == NEGATION:
-            denied = i
-        elif kind == REPORT:
-            reported = True
-        elif kind == TARGET:
-            aimed = True
-        else:
-            x = weight
-            if i - denied <= reach:
-                x += SEED_WEIGHT[NEGATION]
-            if reported:
-                x += SEED_WEIGHT[REPORT]
-            total += max(x, 0.0)
-            hit = True
-    return total + (SEED_WEIGHT[TARGET] if hit and aimed else 0.0)
+        for _ in range(min(i - last - 1, reach)):  # beyond reach further words change no state
+            state = step[state][OTHER][1]
+        _, state, factor = step[state][kind]
+        if kind in (INSULT, THREAT):
+            total += weight * factor
+            offence = True
+        last = i
+    return total + final[state] if offence else 0.0
 
 
 def score_clauses(data: np.ndarray, offsets: np.ndarray, arcs: Arcs, reach: int) -> np.ndarray:
@@ -217,4 +283,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int, n_clauses long")
-    return scored.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2).alias("held_out"), "score", "predicted", "n_clauses")
+    return scored.select("doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_clauses")

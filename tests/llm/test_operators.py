@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import decontaminate, line_dedup, minhash, mixing, pii, repetition, resampling, sharding, suffix_tree, toxicity
 
@@ -300,6 +302,43 @@ def test_suffix_tree(docs, nothing, texts):
     assert suffix_tree.suffix_tree_scores(nothing).count() == 0
 
 
+def test_the_composed_grammar_reads_as_its_parts_in_turn():
+    rng, parts = random.Random(1), [toxicity.negation_machine(3), toxicity.threat_machine(), toxicity.report_machine(), toxicity.target_machine()]
+    whole = toxicity.grammar(3)
+    for _ in range(500):
+        word = [rng.randrange(6) for _ in range(rng.randrange(1, 15))]
+        symbols, factors, final = word, [1.0] * len(word), 0.0
+        for m in parts:  # each machine reads what the one before wrote
+            state, written = 0, []
+            for k, a in enumerate(symbols):
+                b, state, f = m.step[state][a]
+                written.append(b)
+                factors[k] *= f
+            symbols, final = written, final + m.final[state]
+        state, got = 0, []
+        for a in word:
+            b, state, f = whole.step[state][a]
+            got.append((b, f))
+        assert [g[0] for g in got] == symbols and whole.final[state] == final
+        assert all(abs(g[1] - f) < 1e-12 for g, f in zip(got, factors, strict=True))
+        bad = [k for k, a in enumerate(word) if a in (toxicity.INSULT, toxicity.THREAT)]
+        marked = [k for k, a in enumerate(word) if a]
+        if marked:  # skipping words of no class changes nothing
+            want = sum(2.0 * factors[k] for k in bad) + whole.final[state] if bad else 0.0
+            tail = toxicity.clause_weights([word[k] for k in marked], [2.0] * len(marked), [k + 7 for k in marked], 3)
+            assert abs(tail - want) < 1e-9
+
+
+def test_negated_and_reported_clauses_weigh_less(spark):
+    arcs = toxicity.arcs_of([])
+    weigh = lambda t: toxicity.score_clauses(*(lambda b: (np.frombuffer(b, np.uint8), np.array([0, len(b)])))(t.encode()), arcs, 3)[0, 1]
+    assert weigh("you are an idiot") > weigh("an idiot") > weigh("he said an idiot") > weigh("he said not an idiot") > 0
+    assert weigh("you are not an idiot") < weigh("an idiot") and weigh("we kill you, i kill time") > weigh("i kill time") > 0 and weigh("a river") == 0
+    df = spark.createDataFrame([(None, "you idiot"), (None, "you idiot"), (1, "")], "doc_id long, text string").withColumn("score", F.lit("x"))
+    rows = toxicity.toxicity_scores(df, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(rows) == 3 and all(r["held_out"] is not None and 0 <= r["score"] <= 1 for r in rows)
+
+
 def test_toxicity_finds_held_out_insults(spark, nothing):
     rng, plain = random.Random(2), ["river", "stone", "cloud", "green", "walks", "today", "under", "light"]
     rows, labels = [], []
