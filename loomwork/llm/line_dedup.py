@@ -199,7 +199,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def delete_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
     """docs with the text of later documents shortened; other columns stay."""
-    gone = repeated_lines(docs, id_col, text_col, rules).where(F.size("removed") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("removed").alias("__gone"))
-    joined = docs.join(gone, (docs[id_col] == gone["__id"]) & (text_key(docs[text_col]) == gone["__key"]), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(text_col))).select(*docs.columns)
+    gone = repeated_lines(docs, id_col, text_col, rules).where(F.size("removed") > 0).select("doc_id", "text_key", "removed")
+    joined = docs.join(gone, (docs[id_col] == gone["doc_id"]) & (text_key(docs[text_col]) == gone["text_key"]), "left")
+    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains(gone["removed"], i)), "\n")
+    text = F.when(gone["removed"].isNotNull(), kept).otherwise(docs[text_col]).alias(text_col)
+    return joined.select(*[text if c == text_col else docs[c] for c in docs.columns])

@@ -366,9 +366,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
     # of rows that repeat, id and text, one stays; only these are numbered
     chosen = stored(chosen.groupBy("doc_id", "text_key").agg(F.count_if(F.col("n_shingles") > 0).alias("n")))
-    named = lambda rule: chosen.where(rule).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(F.col(text_col)) == F.col("__key"))
-    single = docs.join(named("n <= 1"), on, "left_semi")
-    others = docs.join(named("n > 1"), on, "left_semi")
-    turn = Window.partitionBy(id_col, text_key(F.col(text_col))).orderBy(F.lit(0))
-    return single.union(others.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn"))
+
+    def of(rule: str) -> DataFrame:
+        own = chosen.where(rule)
+        return docs.join(own, docs[id_col].eqNullSafe(own["doc_id"]) & (text_key(docs[text_col]) == own["text_key"]), "left_semi")
+
+    # the row goes along in a struct, so that no column of docs clashes
+    turn = F.row_number().over(Window.partitionBy(id_col, text_key(F.col(text_col))).orderBy(F.lit(0)))
+    repeated = of("n > 1").select(F.struct(*docs.columns).alias("row"), turn.alias("turn")).where("turn = 1").select("row.*")
+    return of("n <= 1").union(repeated)
