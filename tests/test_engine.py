@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,33 @@ def test_coco_table_against_plain_loops(spark):
     assert coco.coco_summary(coco.coco_table(t, f.limit(0))).first()["mAP_50_95"] == 0.0
 
 
+def test_coco_table_of_many_images_in_small_batches_and_chunks(spark, monkeypatch):
+    rng = random.Random(6)
+    truth, found = [], []
+    for image in range(40):
+        label = rng.choice([None, 1, 2])
+        for pos in range(30 if image == 7 else rng.randrange(4)):
+            box = (rng.randrange(60) * 1.0, rng.randrange(60) * 1.0, *rng.choice([(20.0, 30.0), (60.0, 60.0), (110.0, 100.0)]))
+            truth.append((image, pos, label, *box))
+            for _ in range(rng.randrange(3)):
+                found.append((image, len(found), rng.choice([label, None, 3]), box[0] + rng.randrange(-4, 9), box[1] + rng.randrange(-4, 4), box[2], box[3], rng.choice([0.25, 0.5, 0.5, 0.9])))
+    for name, rows in {"TASK": 100, "BOXES": 7, "CHUNK": 5}.items():
+        monkeypatch.setattr(coco, name, rows)
+    cols = "image_id long, pos long, label long, x double, y double, w double, h double"
+    got = {(r["label"], r["area"], r["step"]): r for r in coco.coco_table(spark.createDataFrame(truth, cols), spark.createDataFrame(found, cols + ", score double")).collect()}
+    want = coco_by_hand(truth, found)
+    assert set(got) == set(want) and any(label is None and ap for (label, _, _), (_, ap, _) in want.items())
+    for key, (n, ap, recall) in want.items():
+        assert got[key]["positives"] == n and (got[key]["ap"] is None) == (ap is None)
+        assert not n or abs(got[key]["ap"] - ap) < 1e-9 and all(abs(got[key][f"ar{m}"] - recall[m]) < 1e-9 for m in coco.MOST), key
+    # pairs of a few detections at a time are the pairs of all
+    boxes = [np.array([r[3:7] for r in side]) for side in (truth, found)]
+    begin, end = np.zeros(len(found), int), np.arange(len(found)) % (len(truth) + 1)
+    every = coco._near(*boxes, begin, end)
+    monkeypatch.setattr(coco, "PAIRS", 10)
+    assert all((a == b).all() for a, b in zip(every, coco._near(*boxes, begin, end), strict=True))
+
+
 def test_splits_against_plain_loops(spark):
     rng = random.Random(8)
     key = lambda g: hashlib.sha256(f"split:{g}".encode()).hexdigest()
