@@ -7,6 +7,9 @@ occurs in some window has all its windows hashed, looked up in the set, and veri
 by word before they count.  Probes (one number for every nine words) and windows meet
 their sets by hash joins on stored tables: Spark broadcasts a set while its size is below
 spark.sql.autoBroadcastJoinThreshold and shuffles both sides beyond it, with one result.
+What grows with the documents is joined in one way at every size: texts are shuffled once,
+as they are, to the keys of those with a probe, which are stored; every later step reads
+these texts only.
 
 Defined results: words are runs of 0-9, a-z (A-Z count as a-z) and any non-ASCII
 characters; an item of fewer words than `width`, but not none, is one window; a null
@@ -78,45 +81,55 @@ def _window_probes(windows: DataFrame, length: int, rules: ContaminationRules) -
     return windows.where(F.col("len") == length).select("len", F.explode(hashes).alias("hash"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: ContaminationRules | None = None) -> DataFrame:
-    """One row for each document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, hits (word spans)."""
-    rules = rules or ContaminationRules()
+def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, rules: ContaminationRules) -> DataFrame:
+    """One row for each id and text with a window: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, hits."""
     windows = stored(benchmark_windows(items, rules.width))
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most `width` numbers
     probes = stored(reduce(DataFrame.union, [_window_probes(windows, n, rules) for n in lengths], windows.select("len", "hash").limit(0)).distinct())
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", text_key(F.col("text")).alias("text_key"), words_of_text(F.col("text")).alias("w"))
+    base = _keyed(docs, id_col, text_col)
+    spelled = lambda df: df.select("doc_id", "text_key", words_of_text(F.col("text")).alias("w"))
 
     def runs(size_and_step: Callable[[int], tuple[int, int]]) -> Column:
         """(at, len, hash) of runs of words, for windows of every length."""
         each = [F.transform(_starts(F.col("w"), *size_and_step(n)), _run_of(n, size_and_step(n)[0])) for n in lengths]
         return F.explode(F.concat(*each) if each else F.expr(f"cast(array() as {_RUNS})"))
 
-    tried = base.select("doc_id", "text_key", runs(lambda n: _probes(n, rules)).alias("g")).select("doc_id", "text_key", "g.len", "g.hash")
+    tried = spelled(base).select("doc_id", "text_key", runs(lambda n: _probes(n, rules)).alias("g")).select("doc_id", "text_key", "g.len", "g.hash")
     some = stored(tried.join(probes, ["len", "hash"], "left_semi").select("doc_id", "text_key").distinct())
-    every = _of(base, some, "left_semi").select("doc_id", "text_key", runs(lambda n: (n, 1)).alias("g")).select("doc_id", "text_key", "g.*")
-    met = stored(every.join(windows.select("len", "hash"), ["len", "hash"], "left_semi").distinct())
+    texts = stored(_of(base, some, "left_semi", "shuffle_hash").dropDuplicates(["doc_id", "text_key"]))
+    every = spelled(texts).select("doc_id", "text_key", runs(lambda n: (n, 1)).alias("g")).select("doc_id", "text_key", "g.*")
+    met = stored(every.join(windows.select("len", "hash"), ["len", "hash"], "left_semi"))
     # the words themselves decide
-    texts = _of(base, met.select("doc_id", "text_key").distinct(), "left_semi").dropDuplicates(["doc_id", "text_key"])
-    spelt = _of(met, texts, "inner").select("doc_id", "text_key", "at", "len", "hash", F.transform(F.expr("slice(w, at + 1, len)"), lowered).alias("window"))
+    spelt = _of(met, spelled(texts), "inner", "merge").select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "at", "len", "hash", F.transform(F.expr("slice(w, at + 1, len)"), lowered).alias("window"))
     verified = spelt.join(windows.select("len", "hash", F.col("window").alias("item_window"), "items"), ["len", "hash"]).where("window = item_window")
     span = F.struct("at", (F.col("at") + F.col("len")).alias("end"))
-    per_doc = verified.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(span)).alias("hits"), F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string")))).alias("ids"))
+    per_doc = verified.groupBy("doc_id", "text_key", "n_words").agg(F.array_sort(F.collect_set(span)).alias("hits"), F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string")))).alias("ids"))
     covered = F.aggregate("hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, h: F.struct((a["n"] + F.greatest(h["end"] - F.greatest(h["at"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], h["end"]).alias("end")), lambda a: a["n"].cast("long"))
-    per_doc = stored(per_doc.select("doc_id", "text_key", covered.alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), "hits"))
-    out = _of(base.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words")), per_doc, "left")
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    contaminated = (n_hit > 0) & (100 * n_hit >= rules.percent * F.col("n_words"))
-    return out.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), contaminated.alias("contaminated"), F.coalesce("hits", F.expr("cast(array() as array<struct<at:int,end:int>>)")).alias("hits"))
+    per_doc = per_doc.withColumn("n_hit", covered)
+    contaminated = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= rules.percent * F.col("n_words"))
+    return stored(per_doc.select("doc_id", "text_key", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), contaminated.alias("contaminated"), "hits"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: ContaminationRules | None = None) -> DataFrame:
+    """One row for each document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, hits (word spans)."""
+    per_doc = _hits(docs, items, id_col, text_col, rules or ContaminationRules()).drop("n_words")
+    out = _of(_keyed(docs, id_col, text_col).select("doc_id", "text_key", F.size(words_of_text(F.col("text"))).cast("long").alias("n_words")), per_doc, "left", "merge")
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.coalesce("hits", F.expr("cast(array() as array<struct<at:int,end:int>>)")).alias("hits"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
 
 
 def _run_of(length: int, size: int) -> Callable[[Column], Column]:
     return lambda i: F.struct((i - 1).cast("int").alias("at"), F.lit(length).alias("len"), F.xxhash64(F.transform(F.slice("w", i, size), lowered)).alias("hash"))
 
 
-def _of(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """left joined with right on (doc_id, text_key), null ids with null ids; the columns of right under their own names."""
+def _of(left: DataFrame, right: DataFrame, how: str, by: str) -> DataFrame:
+    """left joined with right on (doc_id, text_key) by this join, null ids with null ids; the columns of right under their own names."""
     names = [c for c in right.columns if c not in ("doc_id", "text_key")]
-    other = right.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), *names)
+    other = right.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), *names).hint(by)
     out = left.join(other, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), how)
     return out if how in ("left_semi", "left_anti") else out.drop("__id", "__key")
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontaminate, line_dedup, minhash, mixing, pii, repetition, resampling, sharding, suffix_tree, toxicity
+from loomwork.store import stored
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,6 +144,32 @@ def test_decontamination_finds_a_final_sigma_beside_a_mark(spark):
         assert {r["doc_id"]: r["n_hit"] for r in rows} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
 
 
+def test_decontamination_shuffles_texts_once_as_they_are(spark):
+    rng = random.Random(21)
+    item = " ".join(f"w{k}" for k in range(13))
+    text = lambda: " ".join(f"{rng.getrandbits(40):x}" for _ in range(200))
+    rows = [(k, f"{text()} {item} {text()}" if k % 8 == 0 else text()) for k in range(4000)]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return [found.apply(k) for k in range(found.size())]
+
+    moved = []
+    # the benchmark's tables are broadcast; what grows with the documents is above the first limit, below the other
+    for limit in ("3k", "10m"):
+        before = {x.stageId() for x in stages()}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        bad = decontaminate.contamination(docs, items).where("n_hit = 13").count()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert bad == 500
+        moved.append(sum(x.shuffleWriteBytes() for x in stages() if x.stageId() not in before))
+    size = sum(len(t) for _, t in rows)
+    assert max(moved) < 1.6 * size and max(moved) < 1.1 * min(moved), (moved, size)
+
+
 def test_decontamination_of_repeated_rows_and_null_ids(spark):
     item = " ".join(f"w{k}" for k in range(20))
     rows = [(None, item, "a"), (None, "clean", "b"), (3, "x y " + item, "c"), (3, "x y " + item, "c"), (3, "clean", "d"), (4, item[:30], "e"), (5, " ".join(f"v{k}" for k in range(4000)) + " " + item.upper(), "f")]
