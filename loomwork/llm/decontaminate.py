@@ -9,7 +9,7 @@ their sets by hash joins on stored tables: Spark broadcasts a set while its size
 spark.sql.autoBroadcastJoinThreshold and shuffles both sides beyond it, with one result.
 What grows with the documents is joined in one way at every size: texts are shuffled once,
 as they are, to the keys of those with a probe, which are stored; every later step reads
-these texts only.
+these texts only, and documents are shuffled once more where the contaminated ones go.
 
 Defined results: words are runs of 0-9, a-z (A-Z count as a-z) and any non-ASCII
 characters; an item of fewer words than `width`, but not none, is one window; a null
@@ -136,5 +136,5 @@ def _of(left: DataFrame, right: DataFrame, how: str, by: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: ContaminationRules | None = None) -> DataFrame:
     """The rows of docs that are not contaminated, with their columns."""
-    bad = contamination(docs, items, id_col, text_col, rules).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key"))
+    bad = _hits(docs, items, id_col, text_col, rules or ContaminationRules()).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).hint("shuffle_hash")
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_id"]) & (text_key(docs[text_col]) == bad["__bad_key"]), "left_anti")
